@@ -47,3 +47,19 @@ def from_codepoints(cps: np.ndarray, offsets: np.ndarray, null_mask: np.ndarray
     if null_mask is not None and null_mask.any():
         out = pa.array(np.where(null_mask, None, np.array(out.to_pylist(), dtype=object)), pa.large_string())
     return out.cast(pa.string())
+
+
+def slices(batch: pa.RecordBatch, column: str, limit: int = 2_000_000):
+    """The batch in consecutive parts of about `limit` code points or bytes of the column each, so arrays made from a part
+    stay small whatever the batch holds. A single longer row is a part of its own."""
+    col = batch.column(column).cast(pa.large_string())
+    n = len(col)
+    if n == 0:
+        return
+    ends = np.frombuffer(col.buffers()[1], np.int64)[col.offset : col.offset + n + 1]
+    lo = 0
+    while lo < n:
+        hi = int(np.searchsorted(ends, ends[lo] + limit, side="right")) - 1
+        hi = min(n, max(hi, lo + 1))
+        yield batch.slice(lo, hi - lo)
+        lo = hi

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sparkveil.llm.codepoints import from_codepoints, to_codepoints
+from sparkveil.llm.codepoints import from_codepoints, slices, to_codepoints
 from sparkveil.llm.lookalike import fold_codepoints, tables
 
 BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
@@ -171,7 +171,7 @@ def _finder(ids, sequences, vocabulary, least):
         automaton = None
         bits = np.zeros(1 << 16, bool)
         bits[(vocabulary >> np.uint64(48)).astype(np.int64)] = True
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, "text")):
             if automaton is None:
                 automaton = SuffixAutomaton(sequences)
                 id_type = pa.array(ids).type if ids else pa.int64()
@@ -208,7 +208,7 @@ def remove_leaks(documents: DataFrame, items: DataFrame, least_words: int = 10,
     schema = T.StructType([docs.schema["doc_id"], docs.schema["text"], T.StructField("n_removed", T.IntegerType())])
 
     def run(batches):
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, "text")):
             cps, offsets = to_codepoints(batch.column("text"))
             keep = np.ones(len(cps), bool)
             for i, spans_of in enumerate(batch.column("spans").to_pylist()):

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sparkveil.llm.codepoints import from_codepoints, to_codepoints
+from sparkveil.llm.codepoints import from_codepoints, slices, to_codepoints
 
 SIZE = 0x110000
 # Letters of other scripts that look like a Latin letter.
@@ -227,7 +227,7 @@ def normalise_lookalikes(df: DataFrame, columns: list[str], suffix: str = "_norm
     position = [df.columns.index(c) for c in columns]
 
     def run(batches):
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, columns[0])):
             new = [fold_array(batch.column(i), lower) for i in position]
             yield pa.RecordBatch.from_arrays([*batch.columns, *new], names=[*batch.schema.names, *[c + suffix for c in columns]])
 
@@ -247,7 +247,7 @@ def find_lookalikes(items: DataFrame, turns: DataFrame) -> DataFrame:
     pairs = pairs.where(F.col("item_text").rlike(r"[^\x00-\x7F]") | F.col("turn_text").rlike(r"[^\x00-\x7F]"))
 
     def run(batches):
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, "turn_text")):
             a = fold_array(batch.column("item_text"), True).to_pylist()
             b = fold_array(batch.column("turn_text"), True).to_pylist()
             hit = pa.array([bool(x.strip()) and x.strip() in y for x, y in zip(a, b)], pa.bool_())

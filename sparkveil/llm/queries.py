@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sparkveil.llm import leak, lookalike
+from sparkveil.llm import leak, lookalike, shared
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -19,6 +19,10 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leak.find_leaks(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "eval_items")).select("doc_id", "item_id").distinct()
 
 
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shared.shared_spans(_read(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
     return {k: v for k, v in globals().items() if k[:1] == "p" and k[1:2].isdigit()}
 
