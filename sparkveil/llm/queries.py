@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sparkveil.llm import leak, lookalike, shared
+from sparkveil.llm import leak, lookalike, packing, shared
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -15,6 +15,14 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lookalike.find_lookalikes(_read(spark, sf_dir, "review_items"), _read(spark, sf_dir, "turns"))
 
 
+def p6_packed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(_read(spark, sf_dir, "documents"))
+
+
+def p6_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.packing_report(packing.pack(_read(spark, sf_dir, "documents")))
+
+
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leak.find_leaks(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "eval_items")).select("doc_id", "item_id").distinct()
 
