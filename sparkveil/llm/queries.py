@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sparkveil.llm import leak, lookalike, packing, shared
+from sparkveil.llm import leak, lookalike, packing, shared, turns
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -15,6 +15,15 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lookalike.find_lookalikes(_read(spark, sf_dir, "review_items"), _read(spark, sf_dir, "turns"))
 
 
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = turns.segmented_rows(_read(spark, sf_dir, "turns"), _read(spark, sf_dir, "speakers"), with_text=False)
+    return rows.where("begins").select("transcript_id", rows.turn_id.alias("first_turn_id"), "speaker_code")
+
+
+def p4_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return turns.clean_turns(_read(spark, sf_dir, "turns"), _read(spark, sf_dir, "speakers"))
+
+
 def p6_packed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_read(spark, sf_dir, "documents"))
 
