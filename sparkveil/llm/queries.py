@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sparkveil.llm import leak, lookalike, packing, shared, turns
+from sparkveil.llm import leak, lookalike, packing, pii, shared, turns
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -24,6 +24,16 @@ def p4_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return turns.clean_turns(_read(spark, sf_dir, "turns"), _read(spark, sf_dir, "speakers"))
 
 
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = _read(spark, sf_dir, "turns")
+    return pii.find_types(said, pii.learn_contexts(said, _read(spark, sf_dir, "spans")))
+
+
+def p5_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = _read(spark, sf_dir, "turns")
+    return pii.redact(said, pii.learn_contexts(said, _read(spark, sf_dir, "spans")))
+
+
 def p6_packed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_read(spark, sf_dir, "documents"))
 
