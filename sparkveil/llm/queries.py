@@ -3,18 +3,32 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from sparkveil.llm import leak, lookalike, packing, pii, shared, turns
+from sparkveil.llm import leak, lookalike, names, packing, pii, shared, split, turns
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = split.split_texts(_read(spark, sf_dir, "turns").where(F.length("text") > split.LIMIT), ["transcript_id", "turn_id"])
+    return pieces.where("n_pieces > 1").select("transcript_id", "turn_id").distinct()
+
+
+def p1_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return split.split_texts(_read(spark, sf_dir, "turns").select("transcript_id", "turn_id", "text").distinct(), ["transcript_id", "turn_id"])
+
+
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lookalike.find_lookalikes(_read(spark, sf_dir, "review_items"), _read(spark, sf_dir, "turns"))
 
 
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return names.registry_pairs(_read(spark, sf_dir, "registry"), _read(spark, sf_dir, "spans"))
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = turns.segmented_rows(_read(spark, sf_dir, "turns"), _read(spark, sf_dir, "speakers"), with_text=False)
     return rows.where("begins").select("transcript_id", rows.turn_id.alias("first_turn_id"), "speaker_code")
