@@ -15,9 +15,15 @@ def trimmed(x: Column) -> Column:
     return F.regexp_replace(x, rf"(?U)^[{SPACE}]+|[{SPACE}]+$", "")
 
 
-def matching_key(x: Column) -> Column:
+def matching_key_sql(x: str) -> str:
+    ends, white = rf"(?U)^[{SPACE}]+|[{SPACE}]+$", _WHITE
+    chars = STRIPPED.replace("\\", "\\\\").replace('"', '\\"')
+    return f"""regexp_replace(regexp_replace(btrim(lower({x}), "{chars}"), r'{white}', ' '), r'{ends}', '')"""
+
+
+def matching_key(x: str) -> Column:
     """Lower case, without punctuation and spaces at either end, white space collapsed."""
-    return trimmed(F.regexp_replace(F.btrim(F.lower(x), F.lit(STRIPPED)), _WHITE, " "))
+    return F.expr(matching_key_sql(x))
 
 
 def registry_key(x: Column) -> Column:
@@ -54,31 +60,26 @@ def prefix_of(pii_type: Column) -> Column:
     return F.coalesce(F.element_at(F.create_map(*pairs), pii_type), F.lit("PII"))
 
 
-def _in(x: Column, words: str) -> Column:
-    return x.isin(*words.split())
+def _list(words: str, sep: str | None = None) -> str:
+    return ", ".join(f'"{w}"' for w in words.split(sep))
+
+
+def _skipped(prefixes: str, words: str, name: str) -> str:
+    # without the leading words of the list: cut at the first other word
+    other = f"array_position(transform({words}, w -> w in ({_list(prefixes)})), false)"
+    return f"transform(array({other}), {name} -> if({name} > 0, slice({words}, cast({name} as int), size({words})), slice({words}, 1, 0)))[0]"
 
 
-def is_generic(x: Column) -> Column:
+def is_generic(column: str) -> Column:
     """Whether a text names nobody and nothing: a title, a pronoun, a common word, also behind prepositions and articles, or a
-    phrase with a pronoun or question word. The empty text isn't generic."""
-    bare = "|".join(t.BARE_GENERIC.values()).split("|")
-    key = matching_key(x)
-    words = F.filter(F.split(key, " "), lambda w: w != "")
-
-    def skipped(prefixes: str, words: Column) -> Column:
-        # the number of leading words of the list: 0-based place of the first other word
-        flags = F.transform(words, lambda w: F.when(_in(w, prefixes), 0).otherwise(1))
-        at = F.array_position(flags, 1)
-        return F.when(at > 0, F.slice(words, at.cast("int"), F.greatest(F.size(words), F.lit(1)))).otherwise(F.slice(words, 1, 0))
-
-    rest = skipped(t.ROLE_PREFIXES, skipped(t.PLACE_PREFIXES, words))
-    reduced = F.array_join(rest, " ")
-    return (
-        key.isin(*t.TITLES.split(), *t.NON_NAME_WORDS.split(), *bare)
-        | F.exists(words, lambda w: _in(w, t.PHRASE_WORDS))
-        | reduced.isin(*bare, *t.TITLES.split())
-        | ((F.size(rest) > 0) & F.forall(rest, lambda w: _in(w, t.COMMON_WORDS)))
-    )
+    phrase with a pronoun or question word. The empty text isn't generic, for null the result is null.
+
+    Written as one SQL expression: made of Column calls it takes longer to build than to run on small tables."""
+    bare = _list("|".join(t.BARE_GENERIC.values()), "|")
+    rest = f"""transform(array({_skipped(t.PLACE_PREFIXES, "b.words", "p")}), v -> transform(array({_skipped(t.ROLE_PREFIXES, "v", "q")}), r ->
+        array_join(r, ' ') in ({bare}, {_list(t.TITLES)}) or (size(r) > 0 and forall(r, w -> w in ({_list(t.COMMON_WORDS)}))))[0])[0]"""
+    return F.expr(f"""transform(array({matching_key_sql(column)}), k -> transform(array(struct(filter(split(k, ' '), w -> w <> '') as words)), b ->
+        k in ({_list(t.TITLES)}, {_list(t.NON_NAME_WORDS)}, {bare}) or exists(b.words, w -> w in ({_list(t.PHRASE_WORDS)})) or {rest})[0])[0]""")
 
 
 def contains_ignoring_case(text: Column, part: Column) -> Column:

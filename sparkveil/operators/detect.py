@@ -21,14 +21,15 @@ def distinct_turns(turns: DataFrame) -> DataFrame:
     return turns.dropDuplicates(KEYS)
 
 
-def _ranked(spans: Column, rank: Column, pii_type: Column, confidence: Column, source: str) -> Column:
-    return F.transform(spans, lambda s: F.struct(s["start"].alias("start"), (s["start"] - s["end"]).alias("neg_length"), rank.alias("rank"), s["end"].alias("end"), s["text"].alias("text"), pii_type.alias("pii_type"), confidence.alias("confidence"), F.lit(source).alias("source")))
+def ranked(found: str, rank: str, pii_type: str, confidence: str, source: str) -> str:
+    """SQL for found spans as SPAN_TYPE, whose order by fields is the order in which overlapping spans win."""
+    return f"transform({found}, s -> named_struct('start', s.start, 'neg_length', s.start - s.end, 'rank', {rank}, 'end', s.end, 'text', s.text, 'pii_type', {pii_type}, 'confidence', {confidence}, 'source', '{source}'))"
 
 
-def structured_spans(text: Column, names: list[str] | None = None) -> Column:
-    """All matches of the structured patterns, pattern by pattern; matches of different patterns may overlap."""
-    parts = [_ranked(find_all(text, F.lit(pattern), text.rlike(guard)), F.lit(1_000_000 + k), F.lit(kind), F.lit(1.0), "regex") for k, (name, kind, pattern, guard) in enumerate(STRUCTURED) if names is None or name in names]
-    return F.flatten(F.array(*parts))
+def structured_spans(text: str, names: list[str] | None = None) -> Column:
+    """All matches of the structured patterns in a column, pattern by pattern; those of different patterns may overlap."""
+    parts = [ranked(find_all(text, f"r'{pattern}'", f"rlike({text}, r'{guard}')"), str(1_000_000 + k), f"'{kind}'", "1.0D", "regex") for k, (name, kind, pattern, guard) in enumerate(STRUCTURED) if names is None or name in names]
+    return F.expr(f"flatten(array({', '.join(parts)}))")
 
 
 def exploded(df: DataFrame, spans: str = "spans") -> DataFrame:
@@ -39,7 +40,7 @@ def exploded(df: DataFrame, spans: str = "spans") -> DataFrame:
 
 def regex_spans(turns: DataFrame, names: list[str] | None = None, column: str = "text") -> DataFrame:
     """Rows transcript_id, turn_id, span_start, span_end, text, pii_type, confidence, source, unmerged."""
-    return exploded(turns.select(*KEYS, structured_spans(F.col(column), names).alias("spans")))
+    return exploded(turns.select(*KEYS, structured_spans(column, names).alias("spans")))
 
 
 def located(mentions: DataFrame, turns: DataFrame) -> DataFrame:
@@ -49,7 +50,7 @@ def located(mentions: DataFrame, turns: DataFrame) -> DataFrame:
     """
     asked = mentions.where(F.col("text").isNotNull() & (F.col("text") != "")).withColumnRenamed("text", "mention")
     both = asked.join(turns.select(*KEYS, "text"), KEYS).where(F.contains("text", "mention"))
-    return both.withColumn("found", find_all(F.col("text"), literal(F.col("mention"))))
+    return both.withColumn("pattern", literal(F.col("mention"))).withColumn("found", F.expr(find_all("text", "pattern")))
 
 
 def locate_mentions(mentions: DataFrame, turns: DataFrame) -> DataFrame:
@@ -58,7 +59,7 @@ def locate_mentions(mentions: DataFrame, turns: DataFrame) -> DataFrame:
 
 
 def without_generic(spans: DataFrame) -> DataFrame:
-    return spans.where(~is_generic(F.col("text")))
+    return spans.where(~is_generic("text"))
 
 
 def detect(turns: DataFrame, mentions: DataFrame | None = None) -> DataFrame:
@@ -67,12 +68,12 @@ def detect(turns: DataFrame, mentions: DataFrame | None = None) -> DataFrame:
     Located mentions that aren't generic come before structured matches; of overlapping spans the leftmost stays, of those
     that begin together the longest, of those the first.
     """
-    own = turns.select(*KEYS, structured_spans(F.col("text")).alias("spans"))
+    own = turns.select(*KEYS, structured_spans("text").alias("spans"))
     if mentions is None:
         every = own
     else:
-        found = located(mentions, turns).where(~is_generic(F.col("mention")))
-        found = found.select(*KEYS, _ranked(F.col("found"), F.col("ord"), F.col("pii_type"), F.col("confidence"), "llm").alias("marks"))
+        found = located(mentions, turns).where(~is_generic("mention"))
+        found = found.select(*KEYS, F.expr(ranked("found", "ord", "pii_type", "confidence", "llm")).alias("marks"))
         found = found.groupBy(*KEYS).agg(F.flatten(F.collect_list("marks")).alias("marks"))
         every = own.join(found, KEYS, "left").select(*KEYS, F.concat(F.coalesce("marks", F.array().cast(f"array<{SPAN_TYPE}>")), "spans").alias("spans"))
     return every.select(*KEYS, without_overlaps(F.col("spans"), SPAN_TYPE).alias("spans"))

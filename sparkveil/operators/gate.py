@@ -17,7 +17,8 @@ def residual_hits(turns: DataFrame, residuals: DataFrame | None = None) -> DataF
 
     turns: with anonymised_text. residuals: transcript_id, turn_id, ord, text; their turns needn't be there.
     """
-    masked = turns.select(*KEYS, F.posexplode_outer(structured_spans(masked_tokens(F.col("anonymised_text")))).alias("pos", "s")).where("s is not null")
+    masked = turns.select(*KEYS, masked_tokens(F.col("anonymised_text")).alias("masked"))
+    masked = masked.select(*KEYS, F.posexplode_outer(structured_spans("masked")).alias("pos", "s")).where("s is not null")
     hits = masked.select(*KEYS, (F.col("pos") + 1_000_000_000).alias("hit_ord"), F.col("s.text").alias("text"))
     if residuals is not None:
         hits = residuals.select(*KEYS, F.col("ord").cast("int").alias("hit_ord"), "text").where(F.col("text").isNotNull()).unionByName(hits)
@@ -27,14 +28,14 @@ def residual_hits(turns: DataFrame, residuals: DataFrame | None = None) -> DataF
 def confirmed(hits: DataFrame, turns: DataFrame) -> DataFrame:
     """The hits that are neither parts of tokens nor generic and stand in their redacted turn, ignoring case; of repeated ones
     in a turn the first."""
-    worth = hits.where(~is_token_artifact(F.col("text")) & ~is_generic(F.col("text")))
+    worth = hits.where(~is_token_artifact(F.col("text")) & ~is_generic("text"))
     there = worth.join(turns.select(*KEYS, "anonymised_text"), KEYS).where(contains_ignoring_case(F.col("anonymised_text"), F.col("text")))
     return there.groupBy(*KEYS, "text").agg(F.min("hit_ord").alias("hit_ord"))
 
 
 def low_confidence(spans: DataFrame, threshold: float = 0.5) -> DataFrame:
     """Spans below the threshold that aren't generic, once for each (turn, text), the first of them."""
-    weak = spans.where((F.col("confidence") < threshold) & ~is_generic(F.col("text")))
+    weak = spans.where((F.col("confidence") < threshold) & ~is_generic("text"))
     first = F.row_number().over(Window.partitionBy(*KEYS, "text").orderBy("span_start", "span_end"))
     return weak.withColumn("k", first).where("k = 1").select(*KEYS, "span_start", "text", "pii_type", "confidence")
 

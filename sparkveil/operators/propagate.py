@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from sparkveil.functions.spans import find_all, without_overlaps
 from sparkveil.functions.text import bounded, matching_key
-from sparkveil.operators.detect import KEYS, SPAN_TYPE
+from sparkveil.operators.detect import KEYS, SPAN_TYPE, exploded, ranked
 from sparkveil.operators.lookup import candidates
 
 
@@ -18,7 +18,7 @@ def contextual(spans: DataFrame) -> DataFrame:
     order. Keys of less than three characters and structured matches are left out.
     """
     place = F.struct("turn_id", "span_start")
-    known = spans.where("source = 'llm'").withColumn("match_key", matching_key(F.col("text"))).where(F.length("match_key") >= 3)
+    known = spans.where("source = 'llm'").withColumn("match_key", matching_key("text")).where(F.length("match_key") >= 3)
     grouped = known.groupBy("transcript_id", "match_key", "pii_type").agg(F.max_by(F.struct("text", "confidence"), place).alias("last"), F.min(place).alias("first"))
     return grouped.select("transcript_id", "match_key", "pii_type", "last.text", "last.confidence", F.col("first.turn_id").alias("first_turn"), F.col("first.span_start").alias("first_start"))
 
@@ -29,16 +29,14 @@ def propagate(turns: DataFrame, detected: DataFrame) -> DataFrame:
     detected: rows with spans as an array, as `detect` gives them. Repeats match ignoring case, between word boundaries. Where
     spans overlap, leftmost, longest, detected before repeated, and the contextual identifier met first win, in this order.
     """
-    from sparkveil.operators.detect import exploded
-
     known = contextual(exploded(detected)).withColumn("pattern", bounded(F.col("text")))
     near = candidates(turns, known.withColumnRenamed("text", "surface"), "surface")
-    order = lambda e: F.struct(e["first_turn"], e["first_start"], e["pii_type"])
-    ranked = F.transform(F.array_sort("entries", lambda a, b: F.when(order(a) < order(b), -1).when(order(a) > order(b), 1).otherwise(0)), lambda e, i: F.struct(e["pattern"].alias("pattern"), e["pii_type"].alias("pii_type"), e["confidence"].alias("confidence"), (i + 1).alias("rank")))
-    marks = F.flatten(F.transform(ranked, lambda e: F.transform(find_all(F.col("text"), e["pattern"]), lambda s: F.struct(s["start"].alias("start"), (s["start"] - s["end"]).alias("neg_length"), e["rank"].alias("rank"), s["end"].alias("end"), s["text"].alias("text"), e["pii_type"].alias("pii_type"), e["confidence"].alias("confidence"), F.lit("llm").alias("source")))))
+    # The contextual identifier met first has the lowest rank.
+    order = "array_sort(transform(entries, e -> struct(e.first_turn as t, e.first_start as s, e.pii_type as y, e.confidence as c, e.pattern as p)))"
+    marks = F.expr(f"flatten(transform({order}, (e, r) -> {ranked(find_all('text', 'e.p'), 'r + 1', 'e.y', 'e.c', 'llm')}))")
     repeats = near.select(*KEYS, marks.alias("marks"))
     # Detected spans come first at equal places: their ranks are made negative, in their order.
-    own = detected.select(*KEYS, F.transform("spans", lambda s, i: F.struct(s["start"].alias("start"), s["neg_length"].alias("neg_length"), (i - 1_000_000).alias("rank"), s["end"].alias("end"), s["text"].alias("text"), s["pii_type"].alias("pii_type"), s["confidence"].alias("confidence"), s["source"].alias("source"))).alias("spans"))
+    own = detected.select(*KEYS, F.expr("transform(spans, (s, i) -> named_struct('start', s.start, 'neg_length', s.neg_length, 'rank', i - 1000000, 'end', s.end, 'text', s.text, 'pii_type', s.pii_type, 'confidence', s.confidence, 'source', s.source))").alias("spans"))
     empty = F.array().cast(f"array<{SPAN_TYPE}>")
     both = own.join(repeats, KEYS, "full").select(*KEYS, F.concat(F.coalesce("spans", empty), F.coalesce("marks", empty)).alias("spans"))
     return both.select(*KEYS, without_overlaps(F.col("spans"), SPAN_TYPE).alias("spans"))

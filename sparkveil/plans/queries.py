@@ -74,11 +74,11 @@ def speakers_of_lines(spark, sf_dir) -> DataFrame:
 
 def normalise_keys(spark, sf_dir) -> DataFrame:
     texts = _phrases(spark, sf_dir)
-    return texts.select("text", matching_key(F.col("text")).alias("match_key"), registry_key(F.col("text")).alias("registry_key"))
+    return texts.select("text", matching_key("text").alias("match_key"), registry_key(F.col("text")).alias("registry_key"))
 
 
 def generic_predicate(spark, sf_dir) -> DataFrame:
-    return _phrases(spark, sf_dir).select("text", is_generic(F.col("text")).alias("generic"))
+    return _phrases(spark, sf_dir).select("text", is_generic("text").alias("generic"))
 
 
 def generic_filter(spark, sf_dir) -> DataFrame:
