@@ -69,4 +69,5 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """What SQL can express; the others are tested against brute force and round trips."""
+    return {"p1_found": f"SELECT DISTINCT transcript_id, turn_id FROM turns WHERE length(text) > {split.LIMIT}"}
