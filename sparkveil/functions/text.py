@@ -95,7 +95,8 @@ def longest_word(x: Column) -> Column:
 
 
 def folded(x: Column) -> Column:
-    return F.lower(F.upper(x))
+    """One form for texts that patterns take as equal when they ignore case."""
+    return F.lower(F.upper(F.translate(x, "\u1e9e\u0130", "\u00dfi")))
 
 
 def words_of(x: Column) -> Column:

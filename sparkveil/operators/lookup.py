@@ -1,6 +1,6 @@
 """Which surfaces of a transcript may stand in which of its turns, without comparing all with all.
 
-A transcript with few surfaces sends them to its turns as one array. Where there are many, a turn and a surface meet on
+A transcript with few surfaces sends them to its turns as one array, where those go that the turn doesn't contain. Where there are many, a turn and a surface meet on
 (transcript, word): a surface between word boundaries can only stand where its longest word stands as a word. Surfaces without
 any word go to all turns; they are as rare as they are short.
 """
@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkveil.functions.text import longest_word, words_of
+from sparkveil.functions.text import folded, longest_word, words_of
 
 KEYS = ["transcript_id", "turn_id"]
 FEW = 64
@@ -23,17 +23,18 @@ def candidates(turns: DataFrame, entries: DataFrame, surface: str, always: str =
     under which an entry is a candidate of every turn of the transcript.
     """
     entry = F.struct(*[c for c in entries.columns if c != "transcript_id"]).alias("entry")
-    entries = entries.withColumn("entry", entry).withColumn("word", longest_word(F.col(surface))).withColumn("everywhere", F.expr(always) | F.col("word").isNull()).select("transcript_id", "entry", "word", "everywhere")
+    entries = entries.withColumn("entry", entry).withColumn("low", folded(F.col(surface))).withColumn("word", longest_word(F.col(surface))).withColumn("everywhere", F.expr(always) | F.col("word").isNull()).select("transcript_id", "entry", "low", "word", "everywhere")
     sizes = entries.groupBy("transcript_id").agg(F.count("*").alias("n_entries"))
     sized = entries.join(sizes, "transcript_id")
-    small = sized.where((F.col("n_entries") <= few) | F.col("everywhere")).groupBy("transcript_id").agg(F.collect_list(F.struct("entry", "word", "everywhere")).alias("listed"))
-    lowered = turns.select(*KEYS, "text").where(F.col("text") != "").withColumn("words", words_of(F.col("text")))
-    near = lowered.join(small, "transcript_id")
-    near = near.select(*KEYS, "text", F.transform(F.filter("listed", lambda x: x["everywhere"] | F.array_contains(F.col("words"), x["word"])), lambda x: x["entry"]).alias("entries"))
+    small = sized.where((F.col("n_entries") <= few) | F.col("everywhere")).groupBy("transcript_id").agg(F.collect_list(F.struct("entry", "low", "everywhere")).alias("listed"))
+    texts = turns.select(*KEYS, "text").where(F.col("text") != "")
+    # The folded text is bound to w so that it isn't made again for each entry.
+    near = texts.join(small, "transcript_id").withColumn("low", folded(F.col("text")))
+    near = near.select(*KEYS, "text", F.expr("transform(array(low), w -> transform(filter(listed, x -> x.everywhere or contains(w, x.low)), x -> x.entry))[0]").alias("entries"))
     large = sized.where((F.col("n_entries") > few) & ~F.col("everywhere"))
     hubs = large.select("transcript_id").distinct()
-    spread = lowered.join(hubs, "transcript_id", "left_semi").select(*KEYS, F.explode("words").alias("word"))
+    spread = texts.join(hubs, "transcript_id", "left_semi").select(*KEYS, F.explode(words_of(F.col("text"))).alias("word"))
     met = spread.join(large.select("transcript_id", "word", "entry"), ["transcript_id", "word"]).groupBy(*KEYS).agg(F.collect_list("entry").alias("entries"))
-    far = lowered.select(*KEYS, "text").join(met, KEYS).select(*KEYS, "text", "entries")
+    far = texts.join(met, KEYS).select(*KEYS, "text", "entries")
     both = near.unionByName(far)
     return both.groupBy(*KEYS).agg(F.first("text").alias("text"), F.flatten(F.collect_list("entries")).alias("entries")) if always != "false" else both
