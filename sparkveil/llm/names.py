@@ -3,7 +3,8 @@
 A noisy channel in two steps, both by key and none over all pairs. First the words of names: within a transcript the more
 frequent of two spellings is a candidate for what the other meant; a spelling is attached to the candidate with the greatest
 posterior, log frequency plus log likelihood of the typing errors between them. Candidates meet through keys that a single
-error leaves equal (the word less one letter), and each key proposes only its most frequent spelling. Then whole names, made
+error leaves equal (the word less one letter) or looser ones, and every spelling of a key is a candidate for the rarer ones; a
+loose key of many spellings is split by keys that the errors allowed leave equal, so no pair is lost. Then whole names, made
 of the attached words: nicknames lead to the name they stand for, reordered parts and titles are put right, abbreviated words
 are written out, and names that leave parts out (initials, surname or given name alone, place or initials of an organisation)
 are attached to the full name with the greatest posterior, if it holds most of the probability.
@@ -196,8 +197,26 @@ def _read_all(surfaces: DataFrame, given: dict[str, int]) -> DataFrame:
     return surfaces.mapInArrow(run, fields + ", kind string, main string, other string, initial string").where("kind is not null")
 
 
-def attach_words(names: DataFrame, rounds: int = 2) -> DataFrame:
-    """Rows transcript_id, kind, main, canonical: each main word (surname, place) with the spelling it is attached to."""
+def most_errors(a: int, b: int, loose: bool) -> int:
+    """Typing errors allowed between words of those lengths."""
+    return (3 if min(a, b) >= 10 else 2) if loose else (1 if min(a, b) < 6 else 2)
+
+
+def reduced(word: str) -> set[str]:
+    """The letters of a word in order, less up to as many as a loose key allows errors: two words within that distance share one."""
+    level = {"".join(sorted(word))}
+    found = set(level)
+    for _ in range(most_errors(len(word), len(word), True)):
+        level = {y for x in level for y in shortened(x)}
+        found |= level
+    return found
+
+
+def attach_words(names: DataFrame, rounds: int = 2, hot: int = 256) -> DataFrame:
+    """Rows transcript_id, kind, main, canonical: each main word (surname, place) with the spelling it is attached to.
+
+    Loose keys of more than `hot` spellings are split.
+    """
     words = names.where("main <> ''").withColumn("kind", F.when(F.col("kind") == "person", "person").otherwise("place")).where(F.col("kind").isin("person", "place") & ~(F.col("kind") == "initials"))
     words = words.groupBy("transcript_id", "kind", "main").agg(F.sum("n").alias("n"), F.max("other").alias("other"))
 
@@ -215,14 +234,26 @@ def attach_words(names: DataFrame, rounds: int = 2) -> DataFrame:
 
     t = names.schema["transcript_id"].dataType.simpleString()
     keyed = words.mapInArrow(keys, f"transcript_id {t}, kind string, main string, n long, key string")
-    top = keyed.groupBy("transcript_id", "kind", "key").agg(F.max_by("main", F.struct("n", "main")).alias("candidate"), F.max("n").alias("candidate_n"), F.count("*").alias("members")).where("members > 1").drop("members")
-    offers = keyed.join(top, ["transcript_id", "kind", "key"]).where("main <> candidate").select("transcript_id", "kind", "main", "candidate", "candidate_n", F.col("key").rlike("[<>]").alias("loose")).distinct()
+    loose = F.col("key").rlike("[<>]")
+    keyed = keyed.withColumn("members", F.count("*").over(Window.partitionBy("transcript_id", "kind", "key"))).where("members > 1")
+    keyed = cut_lineage(keyed.withColumn("loose", loose))
+
+    def split(batches):
+        for b in batches:
+            rows = [(i, f"{k}{x}") for i, (w, k) in enumerate(zip(b.column("main").to_pylist(), b.column("key").to_pylist())) for x in reduced(w)]
+            yield pa.RecordBatch.from_arrays([*(b.column(c).take(pa.array([r[0] for r in rows], pa.int64())) for c in ("transcript_id", "kind", "main", "n")), pa.array([r[1] for r in rows], pa.string())], names=["transcript_id", "kind", "main", "n", "key"])
+
+    parts = keyed.where(loose & (F.col("members") > hot)).mapInArrow(split, f"transcript_id {t}, kind string, main string, n long, key string").withColumn("loose", F.lit(True))
+    keyed = keyed.where(~loose | (F.col("members") <= hot)).drop("members").unionByName(parts)
+    other = keyed.select("transcript_id", "kind", "key", F.col("main").alias("candidate"), F.col("n").alias("candidate_n"))
+    offers = keyed.join(other, ["transcript_id", "kind", "key"]).where(F.struct("candidate_n", "candidate") > F.struct("n", "main"))
+    offers = offers.select("transcript_id", "kind", "main", "candidate", "candidate_n", "loose").distinct()
 
     def score(batches):
         for b in batches:
             out = []
             for w, c, n, loose in zip(*(b.column(x).to_pylist() for x in ("main", "candidate", "candidate_n", "loose"))):
-                most = (3 if min(len(w), len(c)) >= 10 else 2) if loose else (1 if min(len(w), len(c)) < 6 else 2)
+                most = most_errors(len(w), len(c), loose)
                 d = distance(w, c, most)
                 out.append(math.log(n + 0.5) + d * LOG_ERROR if d <= most else None)
             yield pa.RecordBatch.from_arrays([*(b.column(x) for x in ("transcript_id", "kind", "main", "candidate")), pa.array(out, pa.float64())], names=["transcript_id", "kind", "main", "candidate", "posterior"])

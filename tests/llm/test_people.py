@@ -32,6 +32,32 @@ def test_relatives_are_different_persons(spark):
     assert linked == {(a, b) for i, a in enumerate(me) for b in me[i + 1 :]} | {("matilda branangry", "tilly branangry")}
 
 
+NAMES = "transcript_id string, kind string, main string, other string, n long"
+
+
+def attached(spark, rows, **more):
+    """The spelling each surname is attached to; rows of surname, given name, count."""
+    df = spark.createDataFrame([("t", "person", m, g, n) for m, g, n in rows], NAMES)
+    return {r.main: r.canonical for r in names.attach_words(df, **more).collect()}
+
+
+@pytest.mark.parametrize("hot", [1, 256])
+def test_every_more_frequent_spelling_of_a_key_is_a_candidate(spark, hot):
+    out = attached(spark, [("tarquinson", "ann", 9), ("tarbellow", "ann", 5), ("tarbxllqw", "ann", 1), ("tarqxinsqn", "ann", 2)], hot=hot)
+    assert out == {"tarquinson": "tarquinson", "tarbellow": "tarbellow", "tarbxllqw": "tarbellow", "tarqxinsqn": "tarquinson"}
+
+
+def test_words_within_the_errors_allowed_share_a_reduced_form():
+    rng = random.Random(3)
+    for _ in range(500):
+        a = b = "".join(rng.choice("abcdefgh") for _ in range(rng.randint(6, 12)))
+        for _ in range(rng.randint(1, 3)):
+            k = rng.randrange(len(b))
+            b = b[:k] + rng.choice([b[k + 1 :], "x" + b[k:], "x" + b[k + 1 :], b[k + 1 : k + 2] + b[k : k + 1] + b[k + 2 :]])
+        most = names.most_errors(len(a), len(b), True)
+        assert names.distance(a, b, most) > most or names.reduced(a) & names.reduced(b)
+
+
 def test_organisations(spark):
     me = [("kirrin farm grammar school", "SCHOOL"), ("kirrin farm gram. sch.", "SCHOOL"), ("grammar school of kirrin farm", "SCHOOL"), ("the kirrin farm grammar school", "SCHOOL"), ("k.f.g.s.", "SCHOOL"), ("kirirn farm grammar shcool", "SCHOOL")]
     others = [("kirrin farm dental clinic", "ORG"), ("vardy cross housing trust", "ORG"), ("vardy cross", "ORG"), ("v.c.h.t.", "ORG"), ("maplin cross housing trust", "ORG")]
