@@ -218,16 +218,16 @@ def attach_words(names: DataFrame, rounds: int = 2, hot: int = 256) -> DataFrame
     Loose keys of more than `hot` spellings are split.
     """
     words = names.where("main <> ''").withColumn("kind", F.when(F.col("kind") == "person", "person").otherwise("place")).where(F.col("kind").isin("person", "place") & ~(F.col("kind") == "initials"))
-    words = words.groupBy("transcript_id", "kind", "main").agg(F.sum("n").alias("n"), F.max("other").alias("other"))
+    words = words.groupBy("transcript_id", "kind", "main").agg(F.sum("n").alias("n"), F.collect_set(F.when(F.col("other") != "", F.col("other"))).alias("others"))
 
     def keys(batches):
         for b in batches:
             rows = []
-            for i, (w, g, kind) in enumerate(zip(*(b.column(c).to_pylist() for c in ("main", "other", "kind")))):
+            for i, (w, given, kind) in enumerate(zip(*(b.column(c).to_pylist() for c in ("main", "others", "kind")))):
                 letters = "".join(sorted(w))  # in order, so that swapped letters make no difference
                 found = {letters, *shortened(letters)} if len(w) >= 4 else {letters}
-                if kind == "person" and g and len(w) >= 6:
-                    found |= {f"{g}<{w[:3]}", f"{g}>{w[-3:]}"}
+                if kind == "person" and len(w) >= 6:
+                    found |= {k for g in given for k in (f"{g}<{w[:3]}", f"{g}>{w[-3:]}")}
                 rows += [(i, k) for k in found]
             at = pa.array([r[0] for r in rows], pa.int64())
             yield pa.RecordBatch.from_arrays([*(b.column(c).take(at) for c in ("transcript_id", "kind", "main", "n")), pa.array([r[1] for r in rows], pa.string())], names=["transcript_id", "kind", "main", "n", "key"])

@@ -47,6 +47,11 @@ def test_every_more_frequent_spelling_of_a_key_is_a_candidate(spark, hot):
     assert out == {"tarquinson": "tarquinson", "tarbellow": "tarbellow", "tarbxllqw": "tarbellow", "tarqxinsqn": "tarquinson"}
 
 
+def test_every_given_name_of_a_surname_makes_keys(spark):
+    out = attached(spark, [("brownstone", "zed", 9), ("brownstone", "ann", 4), ("broxnstxne", "ann", 1)])
+    assert out == {"brownstone": "brownstone", "broxnstxne": "brownstone"}
+
+
 def test_words_within_the_errors_allowed_share_a_reduced_form():
     rng = random.Random(3)
     for _ in range(500):
