@@ -212,7 +212,7 @@ def reduced(word: str) -> set[str]:
     return found
 
 
-def attach_words(names: DataFrame, rounds: int = 2, hot: int = 256) -> DataFrame:
+def attach_words(names: DataFrame, hot: int = 256) -> DataFrame:
     """Rows transcript_id, kind, main, canonical: each main word (surname, place) with the spelling it is attached to.
 
     Loose keys of more than `hot` spellings are split.
@@ -261,10 +261,12 @@ def attach_words(names: DataFrame, rounds: int = 2, hot: int = 256) -> DataFrame
     scored = offers.mapInArrow(score, f"transcript_id {t}, kind string, main string, candidate string, posterior double").where("posterior is not null")
     best = scored.groupBy("transcript_id", "kind", "main").agg(F.max_by("candidate", F.struct("posterior", "candidate")).alias("canonical"))
     current = cut_lineage(words.select("transcript_id", "kind", "main").join(best, ["transcript_id", "kind", "main"], "left").withColumn("canonical", F.coalesce("canonical", "main")))
-    for _ in range(rounds):  # a candidate may itself be attached to a more frequent spelling
+    while True:  # a candidate may itself be attached to a more frequent spelling; counts only rise, so this ends
         step = current.select("transcript_id", "kind", F.col("main").alias("canonical"), F.col("canonical").alias("next"))
-        current = current.join(step, ["transcript_id", "kind", "canonical"], "left").select("transcript_id", "kind", "main", F.coalesce("next", "canonical").alias("canonical"))
-    return current
+        further = cut_lineage(current.join(step, ["transcript_id", "kind", "canonical"], "left").withColumn("next", F.coalesce("next", "canonical")))
+        current = further.select("transcript_id", "kind", "main", F.col("next").alias("canonical"))
+        if further.where("next <> canonical").isEmpty():
+            return current
 
 
 def _attach(partial: DataFrame, full: DataFrame, on: list[str], extra=None) -> DataFrame:

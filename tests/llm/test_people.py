@@ -52,6 +52,11 @@ def test_every_given_name_of_a_surname_makes_keys(spark):
     assert out == {"brownstone": "brownstone", "broxnstxne": "brownstone"}
 
 
+def test_chains_of_spellings_are_followed_to_their_end(spark):
+    chain = ["nopqrstu"[:k] + "abcdefgh"[k:] for k in range(8)]
+    assert attached(spark, [(w, "", k + 1) for k, w in enumerate(chain)]) == dict.fromkeys(chain, chain[-1])
+
+
 def test_words_within_the_errors_allowed_share_a_reduced_form():
     rng = random.Random(3)
     for _ in range(500):
