@@ -3,8 +3,8 @@
 Contexts are learned by bootstrapping. Identifiers that an existing pipeline has marked are the seeds: the words at either
 side of each induce a lexical pattern. Patterns are applied to a sample of the turns, which gives a graph of patterns and
 instances, and Spark scores it in rounds: a pattern is worth the mean belief in its instances, an unmarked instance is
-believed as far as the patterns that hold it. Patterns above a threshold then discover identifiers in all texts, next to
-formats that need no context (e-mail addresses, numbers, street addresses, also spelt out or disguised).
+believed as far as the other patterns that hold it, and not at all where there are none. Patterns above a threshold then
+discover identifiers in all texts, next to formats that need no context (e-mail addresses, numbers, street addresses, also spelt out or disguised).
 
 Texts are searched in one consistent form (look-alikes of problem 2, lower case) without time stamps, fillers and sound
 annotations; positions lead back to the text as stored.
@@ -289,15 +289,20 @@ def learn_contexts(turns: DataFrame, spans: DataFrame, sample: int = 20_000, rou
     if not candidates:
         return []
     graph = cut_lineage(sampled.mapInArrow(instances, "pattern int, surface string, kind string"))
-    scores = graph.where("kind is not null").groupBy("pattern", "kind").agg(F.count("*").alias("n"))
-    total = graph.groupBy("pattern").agg(F.count("*").alias("total"), F.count("kind").alias("known"))
-    scores = scores.join(total, "pattern").select("pattern", "kind", (F.col("n") / F.col("known")).alias("score"))
+    total = graph.groupBy("pattern").agg(F.count("*").alias("total"))
+    marked_part = graph.where("kind is not null").groupBy("pattern", "kind").agg(F.count("*").cast("double").alias("sum"))
+    unmarked = graph.where("kind is null").groupBy("pattern", "surface").agg(F.count("*").alias("n"))
+    held = graph.select("pattern", "surface").distinct()
+    holders = held.groupBy("surface").agg(F.count("*").alias("holders")).where("holders > 1")
+    scores = cut_lineage(marked_part.join(total, "pattern").select("pattern", "kind", (F.col("sum") / F.col("total")).alias("score")))
     for _ in range(rounds):
-        belief = graph.where("kind is null").join(scores.withColumnRenamed("kind", "as"), "pattern").groupBy("surface", "as").agg(F.max("score").alias("belief"))
-        open_part = graph.where("kind is null").join(belief, "surface").groupBy("pattern", F.col("as").alias("kind")).agg(F.sum("belief").alias("sum"))
-        known_part = graph.where("kind is not null").groupBy("pattern", "kind").agg(F.count("*").cast("double").alias("sum"))
-        both = known_part.unionByName(open_part).groupBy("pattern", "kind").agg(F.sum("sum").alias("sum"))
-        scores = both.join(total, "pattern").select("pattern", "kind", (F.col("sum") / F.col("total")).alias("score"))
+        # What the patterns that hold a surface say of it; each leaves out what it says itself.
+        said = held.join(scores, "pattern").groupBy("surface", "kind").agg(F.sum("score").alias("all")).join(holders, "surface")
+        own = scores.select("pattern", "kind", F.col("score").alias("own"))
+        believed = unmarked.join(said, "surface").join(own, ["pattern", "kind"], "left")
+        open_part = believed.groupBy("pattern", "kind").agg(F.sum(F.col("n") * (F.col("all") - F.coalesce("own", F.lit(0.0))) / (F.col("holders") - 1)).alias("sum"))
+        both = marked_part.unionByName(open_part).groupBy("pattern", "kind").agg(F.sum("sum").alias("sum"))
+        scores = cut_lineage(both.join(total, "pattern").select("pattern", "kind", (F.col("sum") / F.col("total")).alias("score")))
     kept = scores.where(F.col("score") >= threshold).groupBy("pattern").agg(F.max_by("kind", "score").alias("kind")).orderBy("pattern").collect()
     return [(*candidates[r.pattern], r.kind) for r in kept if r.kind in TYPES]
 

@@ -169,3 +169,13 @@ def test_contexts_are_learned_and_find_new_names(spark):
     out = {r.turn_id: r.text for r in pii.redact(said, learned).where("transcript_id = 'n'").collect()}
     assert out[0] == "I usually see [NAME] about that." and out[2] == new[2][0] and out[50] is None
     assert pii.learn_contexts(said, marked.limit(0)) == [] and pii.find_types(said.limit(0), learned).count() == 0
+
+
+def test_unmarked_fillers_lower_a_pattern(spark):
+    people = ["Ann Lee", "Bo Ray", "Cy Fox", "Di Poe"]
+    rows = [("t", k, f"We talked about {p} for hours.", None) for k, p in enumerate(people)] + [("t", 10 + k, f"We talked about {w} for hours.", None) for k, w in enumerate("money music cooking football gardens politics weather".split())]
+    rows += [("t", 20 + k, f"My neighbour is called {p} these days.", None) for k, p in enumerate(people)]
+    spans = [(t, k, x.index(p), x.index(p) + len(p), "person_name") for t, k, x, _ in rows for p in people if p in x]
+    said, marked = spark.createDataFrame(rows, SAID), spark.createDataFrame(spans, "transcript_id string, turn_id int, span_start int, span_end int, pii_type string")
+    learned = {(a, b) for a, b, _ in pii.learn_contexts(said, marked)}
+    assert ("neighbour is called", " these days") in learned and not any("talked about" in a for a, _ in learned)
