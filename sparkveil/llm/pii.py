@@ -1,7 +1,7 @@
 """Problem 5: personal information in free text, found and replaced by typed placeholders.
 
 Contexts are learned by bootstrapping. Identifiers that an existing pipeline has marked are the seeds: the words at either
-side of each induce a lexical pattern. Patterns are applied to a sample of the turns, which gives a graph of patterns and
+side of each induce a lexical pattern. Patterns are applied to all turns, which gives a graph of patterns and
 instances, and Spark scores it in rounds: a pattern is worth the mean belief in its instances, an unmarked instance is
 believed as far as the other patterns that hold it, and not at all where there are none. Patterns above a threshold then
 discover identifiers in all texts, next to formats that need no context (e-mail addresses, numbers, street addresses, also spelt out or disguised).
@@ -9,7 +9,7 @@ discover identifiers in all texts, next to formats that need no context (e-mail
 Texts are searched in one consistent form (look-alikes of problem 2, lower case) without time stamps, fillers and sound
 annotations; positions lead back to the text as stored.
 
-The sample (`sample`, by hash of the key) bounds what is fitted on; every text is searched whole. Defined results: null and empty
+Contexts are fitted on all spans and turns, and every text is searched whole. Defined results: null and empty
 texts have no identifiers and come out as they are, placeholders such as [NAME_1] are none, repeated rows count once.
 """
 
@@ -246,34 +246,32 @@ def _class(column: str):
     return F.when(F.col(column).isin(*PERSONS), "person_name").otherwise(F.col(column))
 
 
-def learn_contexts(turns: DataFrame, spans: DataFrame, sample: int = 20_000, rounds: int = 3, least_support: int = 3, threshold: float = 0.5) -> list[tuple[str, str, str]]:
-    """Patterns (left, right, type) worth using, fitted on about `sample` marked spans and as many turns."""
+def learn_contexts(turns: DataFrame, spans: DataFrame, rounds: int = 3, least_support: int = 3, threshold: float = 0.5) -> list[tuple[str, str, str]]:
+    """Patterns (left, right, type) worth using, fitted on all marked spans and all turns."""
     seeds = spans.select("transcript_id", "turn_id", "span_start", "span_end", _class("pii_type").alias("kind")).where("span_start is not null and span_end > span_start and kind is not null")
-    part = 1_000_000
-    share = lambda df: min(part, -(-part * sample // max(1, df.count())))
-    seeds = seeds.where(F.pmod(F.xxhash64("transcript_id", "turn_id", "span_start"), F.lit(part)) < share(spans))
     marked = seeds.groupBy("transcript_id", "turn_id").agg(F.collect_set(F.struct("span_start", "span_end", "kind")).alias("marks"))
-    sampled = turns.select("transcript_id", "turn_id", "text").where("text <> ''").join(F.broadcast(marked), ["transcript_id", "turn_id"], "left")
-    sampled = cut_lineage(sampled.where(F.col("marks").isNotNull() | (F.pmod(F.xxhash64("transcript_id", "turn_id", F.lit(1)), F.lit(part)) < share(turns))).dropDuplicates(["transcript_id", "turn_id"]))
+    said = turns.select("transcript_id", "turn_id", "text").where("text <> ''").dropDuplicates(["transcript_id", "turn_id"])
+    said = cut_lineage(said.join(marked, ["transcript_id", "turn_id"], "left").select("text", "marks"))
 
     def contexts(batches):
-        for batch in batches:
-            rows = []
+        for batch in (p for whole in batches for p in slices(whole, "text")):
+            parts, kinds = [], []
             for text, marks in zip(batch.column("text").to_pylist(), batch.column("marks").to_pylist()):
                 for m in marks:
                     a, b = m["span_start"], m["span_end"]
                     if b <= len(text):
-                        before, inside, after = (Prepared(x).text for x in _prepared(pa.array([text[:a], text[a:b], text[b:]], pa.string()))[0])
-                        rows.append((left_context(before), right_context(after), m["kind"], inside))
-            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.string()) for k in range(4)], names=["left", "right", "kind", "surface"])
+                        parts += [text[:a], text[a:b], text[b:]]
+                        kinds.append(m["kind"])
+            x = [Prepared(t).text for t in _prepared(pa.array(parts, pa.string()))[0]]
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in ([left_context(t) for t in x[::3]], [right_context(t) for t in x[2::3]], kinds, x[1::3])], names=["left", "right", "kind", "surface"])
 
-    induced = sampled.where("marks is not null").mapInArrow(contexts, "left string, right string, kind string, surface string")
+    induced = said.where("marks is not null").mapInArrow(contexts, "left string, right string, kind string, surface string")
     induced = induced.where((F.length("left") >= 4) | (F.length("right") >= 4)).groupBy("left", "right").agg(F.count_distinct("surface").alias("n")).where(F.col("n") >= least_support)
-    candidates = [(r.left, r.right) for r in induced.orderBy(F.desc("n"), "left", "right").limit(5000).collect()]
+    candidates = [(r.left, r.right) for r in induced.orderBy(F.desc("n"), "left", "right").collect()]
 
     def instances(batches):
         found = Contexts([(a, b, str(k)) for k, (a, b) in enumerate(candidates)])
-        for batch in batches:
+        for batch in (p for whole in batches for p in slices(whole, "text")):
             rows = []
             texts, _, src, offsets = _prepared(batch.column("text"))
             low_off = np.r_[0, np.cumsum([len(x) for x in texts])]
@@ -288,10 +286,10 @@ def learn_contexts(turns: DataFrame, spans: DataFrame, sample: int = 20_000, rou
 
     if not candidates:
         return []
-    graph = cut_lineage(sampled.mapInArrow(instances, "pattern int, surface string, kind string"))
-    total = graph.groupBy("pattern").agg(F.count("*").alias("total"))
-    marked_part = graph.where("kind is not null").groupBy("pattern", "kind").agg(F.count("*").cast("double").alias("sum"))
-    unmarked = graph.where("kind is null").groupBy("pattern", "surface").agg(F.count("*").alias("n"))
+    graph = cut_lineage(said.mapInArrow(instances, "pattern int, surface string, kind string").groupBy("pattern", "surface", "kind").agg(F.count("*").alias("n")))
+    total = graph.groupBy("pattern").agg(F.sum("n").alias("total"))
+    marked_part = graph.where("kind is not null").groupBy("pattern", "kind").agg(F.sum("n").cast("double").alias("sum"))
+    unmarked = graph.where("kind is null").select("pattern", "surface", "n")
     held = graph.select("pattern", "surface").distinct()
     holders = held.groupBy("surface").agg(F.count("*").alias("holders")).where("holders > 1")
     scores = cut_lineage(marked_part.join(total, "pattern").select("pattern", "kind", (F.col("sum") / F.col("total")).alias("score")))

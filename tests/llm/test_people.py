@@ -179,3 +179,12 @@ def test_unmarked_fillers_lower_a_pattern(spark):
     said, marked = spark.createDataFrame(rows, SAID), spark.createDataFrame(spans, "transcript_id string, turn_id int, span_start int, span_end int, pii_type string")
     learned = {(a, b) for a, b, _ in pii.learn_contexts(said, marked)}
     assert ("neighbour is called", " these days") in learned and not any("talked about" in a for a, _ in learned)
+
+
+def test_contexts_are_learned_from_all_spans(spark):
+    """A context stands in 3 of 41,000 marked turns."""
+    few = ["Ann Lee", "Bo Ray", "Cy Fox"]
+    rows = [("t", k, f"Here is Di{k} Poe again.", None) for k in range(41_000)] + [("u", k, f"I was named {p} by mother.", None) for k, p in enumerate(few)]
+    spans = [(t, k, 8, x.index(" again"), "person_name") if t == "t" else (t, k, 12, 12 + len(few[k]), "person_name") for t, k, x, _ in rows]
+    said, marked = spark.createDataFrame(rows, SAID), spark.createDataFrame(spans, "transcript_id string, turn_id int, span_start int, span_end int, pii_type string")
+    assert ("i was named", " by mother", "person_name") in pii.learn_contexts(said, marked)
