@@ -30,8 +30,8 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = turns.segmented_rows(_read(spark, sf_dir, "turns"), _read(spark, sf_dir, "speakers"), with_text=False)
-    return rows.where("begins").select("transcript_id", rows.turn_id.alias("first_turn_id"), "speaker_code")
+    found = turns.clean_turns(_read(spark, sf_dir, "turns"), _read(spark, sf_dir, "speakers"))
+    return found.select("transcript_id", F.col("first_turn_id"), "speaker_code")
 
 
 def p4_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
