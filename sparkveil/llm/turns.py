@@ -65,7 +65,7 @@ BROKEN = re.compile(r"^[\[(<]?\d{1,2}$")
 LABELLED = re.compile(r"^([^:\n]+?)\s*(?::|\s[-–])(?:\s+|$)")
 TIME = re.compile(r"(?:(\d{1,2}):)?(\d{1,2}):(\d{2})(?!\d)|<(\d+)m(\d+)s>")
 LENGTHS = 4
-BLOCK_ROWS = 8192
+BLOCK_ROWS = 1024
 FLOOR = 1e-3  # least probability of a speaker, whatever the label
 
 
@@ -277,11 +277,12 @@ class Batch:
         return emit, self.begin @ w[BEGIN] + np.where(self.seen, 0.0, LOW), w[2 : 2 + LENGTHS], w[2 + LENGTHS : 2 + 2 * LENGTHS], change
 
 
-def best_states(batch: Batch, w: np.ndarray, start: np.ndarray | None = None, end: np.ndarray | None = None):
+def best_states(batch: Batch, w: np.ndarray, start: np.ndarray | None = None, end: np.ndarray | None = None, ends_only: bool = False):
     """(best score at each last state, path): states are 0 before any label, then 1 + speaker * LENGTHS + length - 1.
 
     start: (B, S) scores of the states before the first row, the state 0 if not given. end: (B,) the state to end in; the best
-    if not given. path: (n, B) states.
+    if not given, negative too. path: (n, B) states. ends_only: instead of the path, (B, S) the state of the row with the first
+    label on the best path from state 0 to each last state.
     """
     emit, begin, stay, close, change = batch.scores(w)
     n, b, k, size = batch.n, batch.count, batch.k, LENGTHS
@@ -290,7 +291,8 @@ def best_states(batch: Batch, w: np.ndarray, start: np.ndarray | None = None, en
     score[:, 0] = 0.0
     if start is not None:
         score = start.copy()
-    back = np.zeros((n, b, states), np.int32)
+    back = np.zeros((0 if ends_only else n, b, states), np.int32)
+    known = np.zeros((b, states), np.int32)
     rows = np.arange(b)
     ids = 1 + np.arange(k)[:, None] * size + np.arange(size)
     for i in range(n):
@@ -318,9 +320,15 @@ def best_states(batch: Batch, w: np.ndarray, start: np.ndarray | None = None, en
         out[:, 0] = np.where(batch.seen[i], LOW, score[:, 0])
         out[:, 1:] = np.maximum(new.reshape(b, -1), LOW)
         over = i >= batch.size
-        back[i, :, 1:] = np.where(over[:, None], np.arange(1, states), origin.reshape(b, -1))
+        source_of = np.where(over[:, None], np.arange(1, states), origin.reshape(b, -1))
+        if ends_only:
+            known[:, 1:] = np.where(source_of == 0, np.arange(1, states), np.take_along_axis(known, source_of, 1))
+        else:
+            back[i, :, 1:] = source_of
         score = np.where(over[:, None], score, out)
-    at = score.argmax(1) if end is None else end
+    if ends_only:
+        return score, known
+    at = score.argmax(1) if end is None else np.where(end < 0, score.argmax(1), end)
     path = np.empty((n, b), np.int32)
     for i in range(n - 1, -1, -1):
         path[i] = at
@@ -521,13 +529,15 @@ def _blocks(table: pa.Table, starts: np.ndarray):
             yield fact, rows, who, sequence(who, [label[i] for i in rows], [at[i] for i in rows], np.array([bits[i] for i in rows], np.int64), np.array([form[i] for i in rows], np.int64), fact["last"])
 
 
-def _alike(blocks: list, most: int = 256):
-    """Blocks of like length together, so that little is padded."""
-    order = sorted(range(len(blocks)), key=lambda i: len(blocks[i][1]))
+def _alike(blocks: list, copies: bool = False):
+    """Blocks of like length together, so that little is padded; copies: of equally many speakers, as each is taken from every
+    state."""
+    order = sorted(range(len(blocks)), key=lambda i: (len(blocks[i][2]) if copies else 0, len(blocks[i][1])))
     part: list[int] = []
     for i in order:
-        n, k = len(blocks[i][1]), len(blocks[i][2])
-        if part and (len(part) >= most or (len(part) + 1) * n * (1 + k * LENGTHS) > 8_000_000 or len(blocks[part[0]][1]) * 2 + 8 < n):
+        n, k = len(blocks[i][1]), 1 + max(1, len(blocks[i][2])) * LENGTHS
+        size = (len(part) + 1) * n * k * (k if copies else 1)
+        if part and (size > 8_000_000 or len(blocks[part[0]][1]) * 2 + 8 < n or (copies and len(blocks[part[0]][2]) != len(blocks[i][2]))):
             yield part
             part = []
         part.append(i)
@@ -540,20 +550,14 @@ def _reduce(w: np.ndarray):
 
     def run(batches):
         for table, starts in _grouped(batches):
-            out = []
-            for fact, _, who, seq in _blocks(table, starts):
-                states = 1 + max(1, len(who)) * LENGTHS
-                batch = Batch([seq] * states)
-                score, path = best_states(batch, w, np.where(np.eye(states, dtype=bool), 0.0, LOW))
-                first = np.zeros(states, np.int32)
-                if seq["seen"].any():  # the speaker of the first label, if the block begins before any, for each state at its end
-                    place = int(seq["seen"].argmax())
-                    for s in range(1, states):
-                        one = Batch([seq])
-                        start = np.full((1, states), LOW)
-                        start[0, 0] = 0.0
-                        first[s] = best_states(one, w, start, np.array([s]))[1][place, 0]
-                out.append((fact["transcript_id"], fact["block"], score.astype(np.float64).ravel().tolist(), first.tolist()))
+            blocks, out = list(_blocks(table, starts)), []
+            for part in _alike(blocks, copies=True):
+                states = 1 + max(1, len(blocks[part[0]][2])) * LENGTHS
+                start = np.tile(np.where(np.eye(states, dtype=bool), 0.0, LOW), (len(part), 1))
+                score, known = best_states(Batch([blocks[i][3] for i in part for _ in range(states)]), w, start, ends_only=True)
+                for j, i in enumerate(part):
+                    fact, at = blocks[i][0], slice(j * states, (j + 1) * states)
+                    out.append((fact["transcript_id"], fact["block"], score[at].ravel().tolist(), known[at.start].tolist()))
             yield _matrices(out, table.schema.field("transcript_id").type)
 
     return run
@@ -640,9 +644,7 @@ def _decode(w: np.ndarray, names: list[str]):
                     fact = blocks[i][0]
                     start[j, fact["before"] or 0] = 0.0
                     end[j] = fact["after"] if fact["after"] is not None else -1
-                score, path = best_states(batch, w, start, None)
-                if (end >= 0).any():
-                    path = best_states(batch, w, start, np.where(end >= 0, end, score.argmax(1)))[1]
+                path = best_states(batch, w, start, end)[1]
                 for j, i in enumerate(part):
                     fact, rows, who, seq = blocks[i]
                     states_of = path[: len(rows), j]
