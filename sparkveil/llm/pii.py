@@ -1,13 +1,19 @@
 """Problem 5: personal information in free text, found and replaced by typed placeholders.
 
-Contexts are learned by bootstrapping. Identifiers that an existing pipeline has marked are the seeds: the words at either
-side of each induce a lexical pattern. Patterns are applied to all turns, which gives a graph of patterns and
-instances, and Spark scores it in rounds: a pattern is worth the mean belief in its instances, an unmarked instance is
-believed as far as the other patterns that hold it, and not at all where there are none. Patterns above a threshold then
-discover identifiers in all texts, next to formats that need no context (e-mail addresses, numbers, street addresses, also spelt out or disguised).
+Contexts are learned by bootstrapping, in column expressions over all turns. Everything that might be an identifier (runs of
+capitalised words, runs of digits) is a candidate with its surroundings; the identifiers that an existing pipeline has marked
+are the seeds. The words beside a candidate, its own first and last word and its shape are patterns, and Spark scores the graph
+of patterns and instances in rounds: a pattern is worth the mean belief in its instances, an unmarked instance is believed as
+far as its other patterns say. So instances that were discovered give weight to patterns that no seed stands beside, and these
+discover further ones. Marked and discovered instances also induce templates, the up to three words at either side together; a
+template is scored against all that stands between its words in the corpus, whatever it looks like.
 
-Texts are searched in one consistent form (look-alikes of problem 2, lower case) without time stamps, fillers and sound
-annotations; positions lead back to the text as stored.
+Texts are then searched in one consistent form (look-alikes of problem 2) without time stamps, fillers and sound annotations:
+formats tell e-mail addresses, numbers and street addresses, also spelt out or disguised, unless what stands beside a number says
+that it is none; templates and believed candidates tell the rest. Positions lead back to the text as stored.
+
+What goes to the workers is bounded: a pattern must hold at least `least_share` of all candidates' rows (and three), so there
+are at most 7 / least_share patterns and 1 / least_share templates.
 
 Contexts are fitted on all spans and turns, and every text is searched whole. Defined results: null and empty
 texts have no identifiers and come out as they are, placeholders such as [NAME_1] are none, repeated rows count once.
@@ -20,11 +26,12 @@ from bisect import bisect_right
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sparkveil.functions.spans import find_all
 from sparkveil.llm.codepoints import from_codepoints, slices, to_codepoints
-from sparkveil.llm.lookalike import fold_codepoints
+from sparkveil.llm.lookalike import fold_codepoints, tables
 from sparkveil.storage import cut_lineage
 from sparkveil.llm.turns import CLOCK, FILLERS, SOUND, STAMP
 
@@ -35,7 +42,8 @@ PLACEHOLDER = {"person_name": "NAME", "email": "EMAIL", "phone": "PHONE", "id_nu
 NOISE = re.compile(rf"(?:(?:{SOUND.pattern})|{STAMP}(?:\s*-->)?|\d\d:\d\d:\d\d(?:\.\d+|\s*-->)|^{CLOCK}(?:\s*-->)?|(?<![\w'-]){FILLERS}(?:\.\.\.|…|,|\s-(?!\w)|-(?!\w))|(?<![\w'-])like,(?=\s|$))\s?")
 NOISY = re.compile(r"[\[(<*{:]|\b(?:u+m|u+h|e+r+m?|hm+|mm+|ah|you know|i mean|sort of|kind of|like,)")
 TOKEN = re.compile(r"\[[a-z]+_\d+\]")
-SENTENCE = re.compile(r"[.!?;:]\s+")
+STOP = re.compile(r"[.!?;]")
+SENTENCE_END = re.compile(r"[.!?;](?=\s|$)|$")
 UNITS = "zero|oh|nought|one|two|three|four|five|six|seven|eight|nine"
 VALUE = {w: str(max(0, k - 2)) for k, w in enumerate(UNITS.split("|"))}
 TEENS = "ten|eleven|twelve|thirteen|fourteen|fifteen|sixteen|seventeen|eighteen|nineteen"
@@ -46,6 +54,9 @@ EMAIL = re.compile(r"[a-z0-9](?:[\w.+-]*\w)?(?:@|\(at\)|\[at\]| @ | ?\(at\) | ?\
 EMAIL_WORDS = re.compile(r"(?<![\w.+-])[\w.+-]+ at [\w-]+(?: dot [\w-]+)+")
 ADDRESS = re.compile(rf"(?<![\w$£€.,/])(?:(?:flat|unit|apartment|apt|suite|number|no\.?) )?(?:\d{{1,4}}[a-z]?(?:[-/]\d{{1,4}}[a-z]?)?(?:, \d{{1,4}}[a-z]?(?:-\d{{1,4}})?)?|{NUMBER_WORD}) (?:[^\W\d][\w'’-]+ ){{1,2}}?(?:{SUFFIX})\b\.?(?:, [^\W\d][\w'’-]+(?:-[\w-]+)*)?(?: [a-z]{{1,2}}\d{{1,2}}[a-z]? \d[a-z]{{2}}\b)?")
 NUMBER = re.compile(r"(?<![\w$£€.,/:-])(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,5}\)[ .-]?)?\d(?:[\d ./-]{4,}\d)(?![\w:]|[.,]\d)")
+STREET_FIRST = re.compile(r"(?<![\w$£€.,/])\d{1,4}(?: ?[a-z]|(?: bis| ter))?,? (?:rue|avenue|av|boulevard|bd|place|chemin|impasse|quai|calle|avenida|paseo|plaza|via|viale|corso|piazza|rua|largo|ulica|ul)\b\.?(?: (?:d[ei]|la|las|los|le|les|du|des|del|della|dos|da|l'))*(?: ?[^\W\d][\w'’-]+){1,3}?(?=[^\w'’-]|$)")
+NUMBER_LAST = re.compile(r"(?<![\w'’-])[^\W\d][\w'’-]*(?:straße|strasse|gasse|weg|allee|straat|laan|gatan|vej) \d{1,4}[a-z]?\b")
+GROUPED = re.compile(r"^[1-9]\d{0,2}([ .])\d{3}(?:\1\d{3})+$")  # an amount: thousands set apart
 DATE = re.compile(r"^(?:\d{1,2}([/.-])\d{1,2}\1\d{2,4}|\d{4}([/.-])\d{1,2}\2\d{1,2})$")
 CODE = re.compile(r"(?<![\w/.-])(?:[a-z]{1,3}[-/]?\d[\d/-]{4,}\d|[a-z]{2}(?: \d\d){3} [a-z])(?![\w/-])")
 SPOKEN = re.compile(rf"\b(?:(?:{UNITS}|double|triple)[ ,]+){{6,}}(?:{UNITS})\b")
@@ -56,25 +67,28 @@ PEOPLE = frozenset("friend man woman boy girl child person nurse doctor teacher
 
 
 class Prepared:
-    """One text in the form it is searched in, and the way back to positions in the text it was made from."""
+    """One text in the form it is searched in, in lower case and as written, and the way back to positions in the text it was
+    made from."""
 
-    __slots__ = ("starts", "text", "to")
+    __slots__ = ("starts", "text", "to", "written")
 
-    def __init__(self, text: str) -> None:
+    def __init__(self, text: str, written: str = "") -> None:
         if "\n" in text or "\t" in text:
             text = text.replace("\n", " ").replace("\t", " ")
         self.starts, self.to = [0], [0]
+        self.text, self.written = text, written
         if not NOISY.search(text):
-            self.text = text
             return
-        parts, at, done = [], 0, 0
+        parts, as_written, at, done = [], [], 0, 0
         for m in NOISE.finditer(text):
             parts.append(text[at : m.start()])
+            as_written.append(written[at : m.start()])
             done += m.start() - at
             at = m.end()
             self.starts.append(done)
             self.to.append(at)
-        self.text = "".join([*parts, text[at:]]) if parts else text
+        if parts:
+            self.text, self.written = "".join([*parts, text[at:]]), "".join([*as_written, written[at:]])
 
     def back(self, start: int, end: int) -> tuple[int, int]:
         k, last = bisect_right(self.starts, start) - 1, bisect_right(self.starts, end - 1) - 1
@@ -83,17 +97,17 @@ class Prepared:
 
 def left_context(text: str) -> str:
     """The up to three words before a span, from the beginning of its sentence on."""
-    begin = 0
-    for m in SENTENCE.finditer(text):
-        begin = m.end()
-    return " ".join(text[begin:].split()[-3:])
+    words = text.rstrip().rsplit(" ", 3)[-3:]
+    for k in range(len(words) - 1, -1, -1):
+        if words[k][-1:] in (".", "!", "?", ";", ":"):
+            return " ".join(words[k + 1 :])
+    return " ".join(words)
 
 
 def right_context(text: str) -> str:
     """The up to three words after a span, with what joins them to it; "." if its sentence ends."""
-    m = re.match(r"^[^.!?;]*", text)
-    part = " ".join(m[0].rstrip().split(" ")[:4]) if m[0].strip() else ""
-    return part.rstrip(",") or "."
+    part = STOP.split(" ".join(text.split(" ", 4)[:4]), maxsplit=1)[0].rstrip().rstrip(",")
+    return part or "."
 
 
 def spoken_digits(words: str) -> str:
@@ -106,6 +120,11 @@ def spoken_digits(words: str) -> str:
     return out
 
 
+def is_book(d: str) -> bool:
+    """Whether digits are an international book number."""
+    return len(d) == 13 and d[:3] in ("978", "979") and not sum(int(c) * (3 if i % 2 else 1) for i, c in enumerate(d)) % 10
+
+
 def formats(t: str):
     """(type, start, end) of identifiers that their form alone tells."""
     out = []
@@ -117,14 +136,14 @@ def formats(t: str):
         n = len(d := spoken_digits(m[0]))
         if n >= 7:
             out.append(("phone" if n in (10, 11, 12) or (d[0] == "0" and n > 9) else "id_number", *m.span()))
-    addresses = [m.span() for m in ADDRESS.finditer(t)]
+    addresses = [m.span() for x in (ADDRESS, STREET_FIRST, NUMBER_LAST) for m in x.finditer(t)]
     out += [("address", *x) for x in addresses]
     if any(c.isdigit() for c in t):
         numbers = []
         for m in NUMBER.finditer(t):
             x = m[0]
             d = re.sub(r"\D", "", x)
-            if len(d) < 7 or DATE.match(x) or any(a < m.end() and m.start() < b for a, b in addresses):
+            if len(d) < 7 or DATE.match(x) or GROUPED.match(x) or is_book(d) or any(a < m.end() and m.start() < b for a, b in addresses):
                 continue
             groups = [len(g) for g in re.findall(r"\d+", x)]
             phone = x[0] == "+" or "(" in x or (len(d) == 11 and d[0] in "01") or (len(d) == 10 and (groups in ([3, 3, 4], [10]) and d[0] in "23456789" or d[0] == "0"))
@@ -170,7 +189,7 @@ class Contexts:
             self.automaton.make_automaton()
         self.empty = not anchors
 
-    def find(self, t: str, limit: int = 90):
+    def find(self, t: str):
         """(pattern, start, end) of what stands in the contexts."""
         if self.empty:
             return
@@ -182,31 +201,26 @@ class Contexts:
                     if begin and t[begin - 1].isalnum():
                         continue
                     a = end + 1
-                    if right == ".":
-                        b = self._sentence_end(t, a)
-                    else:
-                        b = t.find(right, a, a + limit)
-                        if b < 0:
-                            continue
+                    b = self._sentence_end(t, a) if right == "." else t.find(right, a)
                 else:
                     if end + 1 < len(t) and t[end + 1].isalnum():
                         continue
                     b = begin
                     if left:
-                        k = t.rfind(left + " ", max(0, b - limit), b)
+                        k = t.rfind(left + " ", 0, b)
                         while k > 0 and t[k - 1].isalnum():
-                            k = t.rfind(left + " ", max(0, b - limit), k)
+                            k = t.rfind(left + " ", 0, k)
                         if k < 0:
                             continue
                         a = k + len(left) + 1
                     else:
                         a = self._sentence_start(t, b)
-                if a < b <= a + limit:
+                if a < b:
                     yield p, a, b
 
     @staticmethod
     def _sentence_end(t: str, a: int) -> int:
-        for m in re.compile(r"[.!?;](?=\s|$)|$").finditer(t, a):
+        for m in SENTENCE_END.finditer(t, a):
             word = t[a : m.start()].rsplit(" ", 1)[-1]
             if m.start() > a and ((len(word) > 1 and word not in TITLES) or m.end() >= len(t)):
                 return m.start()
@@ -214,117 +228,266 @@ class Contexts:
 
     @staticmethod
     def _sentence_start(t: str, b: int) -> int:
-        for m in reversed(list(re.finditer(r"[.!?;:-]\s+", t[max(0, b - 200) : b]))):
-            at = max(0, b - 200) + m.start()
-            word = t[:at].rsplit(" ", 1)[-1]
+        at = b
+        while at > 0:
+            at = max(t.rfind(c, 0, at) for c in ".!?;:-\n")
+            if at < 0:
+                return 0
+            after = at + 1
+            while after < b and t[after].isspace():
+                after += 1
+            if after == at + 1:
+                continue
+            word = t[max(0, at - 30) : at].rsplit(" ", 1)[-1]
             if t[at] != "." or (len(word) > 1 and word not in TITLES):
-                return max(0, b - 200) + m.end()
+                return after
         return 0
 
 
-def search(t: str, contexts: Contexts):
+# Candidates: runs of capitalised words, with small words of names between them, and runs of digits.
+_SMALL = "(?: (?:de|da|di|do|du|dos|del|della|la|le|van|von|der|den|ter|bin|al|el|of))"
+CAPITALS = rf"(?<![\p{{L}}\p{{N}}_@/.'’\[-])\p{{Lu}}[\p{{L}}\p{{M}}'’-]*+(?![\p{{N}}_@])(?:\.?{_SMALL}{{0,2}} \p{{Lu}}[\p{{L}}\p{{M}}'’-]*+(?![\p{{N}}_@]))*"
+DIGITS = r"(?<![\p{L}\p{N}_$£€.,/:-])[+(]?\p{Nd}[\p{Nd} ()./-]{5,}\p{Nd}"
+
+
+def hashed(pattern: str) -> int:
+    """The number of a pattern, as xxhash64 of a column gives it."""
+    import xxhash
+
+    h = xxhash.xxh64_intdigest(pattern.encode(), 42)
+    return h - (1 << 64) if h >> 63 else h
+
+
+def pieces_of(start: int, surface: str, at_start: bool):
+    """A run at the beginning of a sentence is its first word and the rest: the first is written large in any case."""
+    head, space, rest = surface.partition(" ")
+    if at_start and space:
+        return ((start, start + len(head), head, "i"), (start + len(head) + 1, start + len(surface), rest, "m"))
+    return ((start, start + len(surface), surface, "i" if at_start else "m"),)
+
+
+def begins_sentence(before: str) -> bool:
+    before = before.rstrip(" ")
+    return not before or before[-1] in ".!?:;\"“—-\n]"
+
+
+def shape_of(surface: str, place: str) -> str:
+    n = surface.count(" ") + 1
+    return f"{place}{min(n, 3)}{'A' if len(surface) > 2 and surface.upper() == surface else ''}"
+
+
+def patterns_of(left: str, right: str, low: str, shape: str) -> list[str]:
+    """The patterns of a candidate: words beside it, its own first and last word and the whole of it, its shape."""
+    l, r, w = left.split(" "), right.split(" "), low.replace(".", "").split(" ")
+    return [f"l {l[-1]}", f"m {' '.join(l[-2:])}", f"r {' '.join(r[:2])}", f"q {' '.join(r[:3])}", f"w {w[0]}", f"v {w[-1]}", f"x {low}", f"s {shape}"]
+
+
+def _candidates(turns: DataFrame) -> DataFrame:
+    """Rows transcript_id, turn_id, a, b, surface, kind (name, number), lefts, rights, patterns (hashes): every candidate."""
+    text = turns.select("transcript_id", "turn_id", "text").where("text <> ''")
+    found = text.select("*", F.explode(F.expr(f"""concat(
+        transform({find_all("text", f"r\"{CAPITALS}\"", "rlike(text, r'[\\p{Lu}]')")}, s -> named_struct('start', s.start, 'text', s.text, 'kind', 'name')),
+        transform({find_all("text", f"r'{DIGITS}'", "rlike(text, r'[0-9]{2}')")}, s -> named_struct('start', s.start, 'text', s.text, 'kind', 'number')))""")).alias("s"))
+    before = F.rtrim(F.substring("text", F.lit(1), F.col("s.start")))
+    opens = (before == "") | before.rlike(r'[.!?:;"“—\-\n\]]$')
+    found = found.select("transcript_id", "turn_id", "text", "s", opens.alias("opens"), F.instr("s.text", " ").alias("space"))
+    whole = lambda place: F.struct(F.col("s.start").alias("a"), F.col("s.text").alias("surface"), place.alias("place"))
+    head = F.struct(F.col("s.start").alias("a"), F.substring("s.text", F.lit(1), F.col("space") - 1).alias("surface"), F.lit("i").alias("place"))
+    rest = F.struct((F.col("s.start") + F.col("space")).alias("a"), F.substring("s.text", F.col("space") + 1, F.length("s.text")).alias("surface"), F.lit("m").alias("place"))
+    run = F.struct(F.col("s.start").alias("a"), F.col("s.text").alias("surface"), F.lit("w").alias("place"))  # for templates only
+    parts = F.when((F.col("s.kind") == "name") & F.col("opens") & (F.col("space") > 0), F.array(head, rest, run)).otherwise(F.array(whole(F.when(F.col("opens"), "i").otherwise("m"))))
+    each = found.select("transcript_id", "turn_id", "text", F.col("s.kind").alias("kind"), F.explode(parts).alias("p"))
+    each = each.select("transcript_id", "turn_id", "text", "kind", F.col("p.a").alias("a"), (F.col("p.a") + F.length("p.surface")).alias("b"), F.col("p.surface").alias("written"), F.lower("p.surface").alias("surface"), "p.place")
+    each = each.where(~F.col("surface").isin(*NOT_NAMES) & (F.length("surface") > 1))
+    left = F.lower(F.substring_index(F.rtrim(F.substring("text", F.lit(1), F.col("a"))), " ", -3))
+    left = F.regexp_replace(F.regexp_replace(left, r"^.*[.!?;:] ", ""), r"^.*[.!?;:]$", "")
+    right = F.lower(F.substring_index(F.substring("text", F.col("b") + 1, F.length("text")), " ", 4))
+    right = F.rtrim(F.rtrim(F.regexp_extract(right, r"^[^.!?;]*", 0)), F.lit(","))
+    each = each.select("transcript_id", "turn_id", "a", "b", "surface", "kind", "place", left.alias("lefts"), F.when(right == "", ".").otherwise(right).alias("rights"), F.concat("place", F.least(F.size(F.split("surface", " ")), F.lit(3)).cast("string"), F.when((F.length("written") > 2) & (F.upper("written") == F.col("written")), "A").otherwise("")).alias("shape"))
+    words = F.split(F.replace("surface", F.lit("."), F.lit("")), " ")
+    name = lambda tag, x: F.xxhash64(F.concat(F.lit(tag + " "), x))
+    beside = [name("l", F.substring_index("lefts", " ", -1)), name("m", F.substring_index("lefts", " ", -2)), name("r", F.substring_index("rights", " ", 2)), name("q", F.substring_index("rights", " ", 3))]
+    own = [name("w", F.element_at(words, 1)), name("v", F.element_at(words, -1)), name("x", F.col("surface")), name("s", F.col("shape"))]
+    patterns = F.when(F.col("place") == "w", F.array().cast("array<bigint>")).when(F.col("kind") == "name", F.array(*beside, *own)).otherwise(F.array(*beside))
+    return each.select("transcript_id", "turn_id", "a", "b", "surface", "kind", "lefts", "rights", (F.col("place") == "w").alias("whole"), patterns.alias("patterns")).distinct()
+
+
+def _class(column: str):
+    return F.when(F.col(column).isin(*PERSONS), "person_name").otherwise(F.col(column))
+
+
+def _logit(x: Column) -> Column:
+    return F.log(x / (1 - x))
+
+
+DAMP = 0.6  # patterns of a candidate repeat each other, so each counts less than in full
+
+
+class Learned(list):
+    """Templates (left, right, type); scores: log odds of a person by pattern, less those of any candidate; numbers: for a
+    pattern beside a number the shares of telephone numbers, identity numbers and neither."""
+
+    def __init__(self, templates=(), prior: float = -9.0, scores: dict[int, float] | None = None, numbers: dict[int, tuple] | None = None) -> None:
+        super().__init__(templates)
+        self.prior, self.scores, self.numbers = prior, scores or {}, numbers or {}
+
+    def person(self, patterns: list[str]) -> float:
+        """Log odds that a candidate with these patterns is a person. The shape, the last of them, which every candidate has,
+        counts in full."""
+        said = [self.scores.get(hashed(p), 0.0) for p in patterns]
+        return self.prior + DAMP * sum(said[:-1]) + said[-1]
+
+    def evidence(self, patterns: list[str]) -> float:
+        """What the words after a candidate and its own say."""
+        return DAMP * sum(self.scores.get(hashed(p), 0.0) for p in patterns[2:-1])
+
+    def opens_name(self, word: str) -> bool:
+        """Whether a word is a title or a given name, even at the beginning of a sentence."""
+        return self.scores.get(hashed(f"w {word}"), 0.0) > 1 and self.scores.get(hashed(f"x {word}"), 0.0) > -2
+
+    def number(self, left: str, right: str) -> tuple | None:
+        """Mean shares of what the words beside a number say; None if they are not known."""
+        if not self.numbers:
+            return None
+        said = [x for p in patterns_of(left, right, "", "")[:4] if (x := self.numbers.get(hashed(p)))]
+        return tuple(sum(x) / len(said) for x in zip(*said)) if said else None
+
+
+def learn_contexts(turns: DataFrame, spans: DataFrame, rounds: int = 3, least_support: int = 3, threshold: float = 0.5, least_share: float = 2e-5) -> Learned:
+    """Patterns worth using, fitted on all marked spans and all turns."""
+    seeds = spans.select("transcript_id", "turn_id", "span_start", "span_end", _class("pii_type").alias("mark")).where("span_start is not null and span_end > span_start and mark is not null")
+    marks = seeds.groupBy("transcript_id", "turn_id").agg(F.collect_set(F.struct("span_start", "span_end", "mark")).alias("marks"))
+    every = _candidates(turns).join(marks, ["transcript_id", "turn_id"], "left")
+    # A whole run at the beginning of a sentence is marked if it is from its first word on. Rows that say the same count together.
+    every = every.withColumn("mark", F.when(F.size("marks") > 0, F.expr("get(filter(marks, m -> m.span_start < if(whole, a + 1, b) and a < m.span_end and (not whole or m.span_end >= b)), 0).mark")))
+    every = cut_lineage(every.groupBy("kind", "surface", "lefts", "rights", "patterns", "mark").agg(F.count("*").alias("n")))
+    # An instance counts once for a pattern, however often it stands there: the share of its rows that are marked.
+    part = lambda condition: (F.sum(F.when(F.expr(condition), F.col("n")).otherwise(0)) / F.sum("n")).alias
+    edges = every.select("kind", F.xxhash64("surface").alias("instance"), "mark", F.explode("patterns").alias("p"), "n")
+    # What an instance itself says counts by rows: a word that is never marked, however often it stands, is no name.
+    own = F.xxhash64(F.concat(F.lit("x "), F.col("surface")))
+    alone = every.where("kind = 'name' and size(patterns) > 0").groupBy("surface").agg(F.sum("n").cast("double").alias("n"), F.sum(F.when(F.col("mark") == "person_name", F.col("n")).otherwise(0)).cast("double").alias("person")).select(own.alias("p"), "n", "person")
+    edges = edges.groupBy("kind", "instance", "p")
+    edges = cut_lineage(edges.agg(part("mark = 'person_name'")("person"), part("mark = 'phone'")("phone"), part("mark = 'id_number'")("id"), part("mark is null")("open")))
+    size, marked = edges.agg(F.count("*"), F.sum(1 - F.col("open"))).first()
+    if not marked:
+        return Learned()
+    least = max(least_support, int(size * least_share / 7))
+    # Patterns with enough instances: at most 7 / least_share, so their table may go to all workers.
+    base = cut_lineage(edges.groupBy("kind", "p").agg(F.count("*").cast("double").alias("n"), *[F.sum(c).alias(c) for c in ("person", "phone", "id", "open")]).where(F.col("n") >= least))
+    alone = alone.where(F.col("n") >= least)
+    names = base.where("kind = 'name'").select("p", "n", "person").join(alone.select("p"), "p", "left_anti")
+    share = edges.where("kind = 'name'").agg((F.sum("person") + 0.5) / (F.count("*") + 1.0)).first()[0] or 0.01
+    prior = float(np.log(share / (1 - share)))
+    unmarked = edges.where("kind = 'name' and open > 0").select("instance", "p", "open")
+    said = lambda total: (_logit((total + F.lit(share)) / (F.col("n") + 1.0)) - prior)
+    scores = cut_lineage(names.select("p", said(F.col("person")).alias("score")))
+    for _ in range(rounds):
+        # What the other patterns of an instance say of it; each leaves out what it says itself.
+        held = unmarked.join(F.broadcast(scores), "p")
+        others = F.sum("score").over(Window.partitionBy("instance")) - F.col("score")
+        seen = F.count("*").over(Window.partitionBy("instance")) - 1
+        # An instance has many contexts: their mean, as if it had one of each kind.
+        logit = F.lit(prior) + DAMP * others / F.greatest(seen, F.lit(1)) * F.least(seen, F.lit(6))
+        belief = held.select("p", "open", (1 / (1 + F.exp(-logit))).alias("belief")).groupBy("p").agg(F.sum(F.col("open") * F.col("belief")).alias("discovered"))
+        scores = cut_lineage(names.join(belief, "p", "left").select("p", said(F.col("person") + F.coalesce("discovered", F.lit(0.0))).alias("score")))
+    scores = cut_lineage(scores.unionByName(alone.select("p", said(F.col("person")).alias("score"))))
+    logit = F.lit(prior) + DAMP * F.sum("score")
+    discovered = every.where("kind = 'name' and mark is null").withColumn("row", F.xxhash64("surface", "lefts", "rights")).select("row", "surface", "lefts", "rights", F.explode("patterns").alias("p"))
+    discovered = discovered.join(F.broadcast(scores), "p").groupBy("row", "surface", "lefts", "rights").agg(logit.alias("logit")).where(F.col("logit") > 2.2).select("surface", "lefts", "rights", F.lit("person_name").alias("mark"))
+    return Learned(_templates(turns, every.where(F.col("mark").isin(*TYPES)).select("surface", "lefts", "rights", "mark").unionByName(discovered), every, least, threshold), prior, {r.p: r.score for r in scores.where("abs(score) > 0.05").collect()}, {r.p: (r.phone / r.n, r.id / r.n, r.open / r.n) for r in base.where("kind = 'number'").collect()})
+
+
+def _templates(turns: DataFrame, instances: DataFrame, every: DataFrame, least: int, threshold: float) -> list[tuple[str, str, str]]:
+    """Templates of enough different instances that hold, of all that stands at their place, mostly instances of one type."""
+    good = instances.where("length(lefts) >= 4 or length(rights) >= 4").groupBy("lefts", "rights", "mark").agg(F.count_distinct("surface").alias("different")).where(F.col("different") >= least)
+    good = cut_lineage(good)
+    held = every.join(F.broadcast(good.select("lefts", "rights").distinct()), ["lefts", "rights"]).groupBy("lefts", "rights").agg(F.sum("n").alias("all"))
+    by_type = instances.join(F.broadcast(good), ["lefts", "rights", "mark"], "left_semi").join(every.where("mark is not null").select("surface", "lefts", "rights", "mark", "n").groupBy("surface", "lefts", "rights", "mark").agg(F.sum("n").alias("n")), ["surface", "lefts", "rights", "mark"], "left").groupBy("lefts", "rights", "mark").agg(F.sum(F.coalesce("n", F.lit(1))).alias("n"))
+    # How often three words stand in the corpus, whatever is beside them.
+    side = lambda c, n: F.when(F.size(F.split(F.ltrim(c), " ")) == n, F.ltrim(F.col(c)))
+    sides = good.select(F.explode(F.array(side("lefts", 3), side("rights", 3))).alias("words")).where("words is not null").distinct()
+    words = turns.where("text <> ''").select(F.split(F.lower("text"), " ").alias("w")).where("size(w) > 2")
+    three = words.select(F.explode(F.expr("transform(sequence(1, size(w) - 2), i -> concat_ws(' ', slice(w, i, 3)))")).alias("words"))
+    counts = three.join(F.broadcast(sides), "words").groupBy("words").agg(F.count("*").alias("stands"))
+    counts = cut_lineage(counts)
+    both = by_type.join(held, ["lefts", "rights"]).withColumn("lw", side("lefts", 3)).withColumn("rw", side("rights", 3))
+    # Without three words on one side, two on both are enough: then what else stands there is known of candidates only.
+    both = both.where((F.coalesce("lw", "rw").isNotNull()) | (side("lefts", 2).isNotNull() & side("rights", 2).isNotNull()))
+    both = both.join(F.broadcast(counts.select(F.col("words").alias("lw"), F.col("stands").alias("ln"))), "lw", "left").join(F.broadcast(counts.select(F.col("words").alias("rw"), F.col("stands").alias("rn"))), "rw", "left")
+    total = F.greatest(F.least("ln", "rn"), F.col("all"), F.col("n"))
+    kept = both.withColumn("score", F.col("n") / total).where(F.col("score") >= threshold).groupBy("lefts", "rights").agg(F.max_by("mark", "score").alias("mark"))
+    return [(r.lefts, r.rights, r.mark) for r in kept.orderBy("lefts", "rights").collect()]
+
+
+def _capitals():
+    import regex
+
+    return regex.compile(CAPITALS)
+
+
+def search(p: Prepared, contexts: Contexts, learned: Learned, capitals=None):
     """(type, start, end) of the identifiers in a prepared text."""
-    out = formats(t)
-    for (_, _, kind), a, b in contexts.find(t):
-        if kind in PLACEHOLDER and fits(kind, t[a:b]):
-            if kind == "person_name" and any(x < b and a < y for _, x, y in out):
-                continue
-            if kind != "person_name" and any(x < b and a < y for _, x, y in out):
+    t, out = p.text, []
+    for kind, a, b in formats(t):
+        if kind in ("phone", "id_number") and (said := learned.number(left_context(t[:a]), right_context(t[b:]))):
+            phone, own, none = said
+            if none > 0.95:
                 continue
+            if max(phone, own) > 0.95:
+                kind = "phone" if phone > own else "id_number"
+        out.append((kind, a, b))
+    taken = list(out)
+    for (_, _, kind), a, b in contexts.find(t):
+        if kind in PLACEHOLDER and t.count(" ", a, b) < 12 and fits(kind, t[a:b]) and not any(x < b and a < y for _, x, y in out):
             out.append((kind, a, b))
+    if capitals is not None and p.written and learned.scores:
+        for m in capitals.finditer(p.written):
+            start, surface = m.start(), m[0]
+            opens = begins_sentence(p.written[:start])
+            if opens and " " in surface and learned.opens_name(t[start : start + surface.index(" ")].strip(".")):
+                opens = False
+            for a, b, piece, place in pieces_of(start, surface, opens):
+                low = t[a:b]
+                if b - a < 2 or low in NOT_NAMES or any(x < b and a < y for _, x, y in taken):
+                    continue
+                patterns = patterns_of(left_context(t[:a]), right_context(t[b:]), low, shape_of(piece, place))
+                # A single word at the beginning of a sentence, or all in capitals, needs evidence besides its place and shape.
+                bare = " " not in piece and (place == "i" or (len(piece) > 2 and piece.upper() == piece))
+                if learned.person(patterns) > 0 and (not bare or learned.evidence(patterns) > 1) and fits("person_name", low):
+                    out.append(("person_name", a, b))
     return out
 
 
 def _prepared(column: pa.Array):
-    """Texts of a column folded to lower case; for each the position in the stored text of each folded character."""
+    """Texts of a column folded to lower case and as written; for each the position in the stored text of each folded character."""
     cps, offsets = to_codepoints(column)
-    low, low_off, src = fold_codepoints(cps, offsets, lower=True)
-    return from_codepoints(low, low_off).to_pylist(), low_off, src, offsets
-
+    folded, off, src = fold_codepoints(cps, offsets)
+    low = from_codepoints(tables().lower[folded], off).to_pylist()
+    return low, from_codepoints(folded, off).to_pylist(), off, src, offsets
 
-def _class(column: str):
-    return F.when(F.col(column).isin(*PERSONS), "person_name").otherwise(F.col(column))
 
-
-def learn_contexts(turns: DataFrame, spans: DataFrame, rounds: int = 3, least_support: int = 3, threshold: float = 0.5) -> list[tuple[str, str, str]]:
-    """Patterns (left, right, type) worth using, fitted on all marked spans and all turns."""
-    seeds = spans.select("transcript_id", "turn_id", "span_start", "span_end", _class("pii_type").alias("kind")).where("span_start is not null and span_end > span_start and kind is not null")
-    marked = seeds.groupBy("transcript_id", "turn_id").agg(F.collect_set(F.struct("span_start", "span_end", "kind")).alias("marks"))
-    said = turns.select("transcript_id", "turn_id", "text").where("text <> ''").dropDuplicates(["transcript_id", "turn_id"])
-    said = cut_lineage(said.join(marked, ["transcript_id", "turn_id"], "left").select("text", "marks"))
-
-    def contexts(batches):
-        for batch in (p for whole in batches for p in slices(whole, "text")):
-            parts, kinds = [], []
-            for text, marks in zip(batch.column("text").to_pylist(), batch.column("marks").to_pylist()):
-                for m in marks:
-                    a, b = m["span_start"], m["span_end"]
-                    if b <= len(text):
-                        parts += [text[:a], text[a:b], text[b:]]
-                        kinds.append(m["kind"])
-            x = [Prepared(t).text for t in _prepared(pa.array(parts, pa.string()))[0]]
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in ([left_context(t) for t in x[::3]], [right_context(t) for t in x[2::3]], kinds, x[1::3])], names=["left", "right", "kind", "surface"])
-
-    induced = said.where("marks is not null").mapInArrow(contexts, "left string, right string, kind string, surface string")
-    induced = induced.where((F.length("left") >= 4) | (F.length("right") >= 4)).groupBy("left", "right").agg(F.count_distinct("surface").alias("n")).where(F.col("n") >= least_support)
-    candidates = [(r.left, r.right) for r in induced.orderBy(F.desc("n"), "left", "right").collect()]
-
-    def instances(batches):
-        found = Contexts([(a, b, str(k)) for k, (a, b) in enumerate(candidates)])
-        for batch in (p for whole in batches for p in slices(whole, "text")):
-            rows = []
-            texts, _, src, offsets = _prepared(batch.column("text"))
-            low_off = np.r_[0, np.cumsum([len(x) for x in texts])]
-            for i, (text, marks) in enumerate(zip(texts, batch.column("marks").to_pylist())):
-                p = Prepared(text)
-                for (_, _, k), a, b in found.find(p.text):
-                    x, y = p.back(a, b)
-                    x, y = src[low_off[i] + x] - offsets[i], src[low_off[i] + y - 1] + 1 - offsets[i]
-                    kind = next((m["kind"] for m in marks or () if m["span_start"] < y and x < m["span_end"]), None)
-                    rows.append((int(k), p.text[a:b].strip(), kind))
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.string()), pa.array([r[2] for r in rows], pa.string())], names=["pattern", "surface", "kind"])
-
-    if not candidates:
-        return []
-    graph = cut_lineage(said.mapInArrow(instances, "pattern int, surface string, kind string").groupBy("pattern", "surface", "kind").agg(F.count("*").alias("n")))
-    total = graph.groupBy("pattern").agg(F.sum("n").alias("total"))
-    marked_part = graph.where("kind is not null").groupBy("pattern", "kind").agg(F.sum("n").cast("double").alias("sum"))
-    unmarked = graph.where("kind is null").select("pattern", "surface", "n")
-    held = graph.select("pattern", "surface").distinct()
-    holders = held.groupBy("surface").agg(F.count("*").alias("holders")).where("holders > 1")
-    scores = cut_lineage(marked_part.join(total, "pattern").select("pattern", "kind", (F.col("sum") / F.col("total")).alias("score")))
-    for _ in range(rounds):
-        # What the patterns that hold a surface say of it; each leaves out what it says itself.
-        said = held.join(scores, "pattern").groupBy("surface", "kind").agg(F.sum("score").alias("all")).join(holders, "surface")
-        own = scores.select("pattern", "kind", F.col("score").alias("own"))
-        believed = unmarked.join(said, "surface").join(own, ["pattern", "kind"], "left")
-        open_part = believed.groupBy("pattern", "kind").agg(F.sum(F.col("n") * (F.col("all") - F.coalesce("own", F.lit(0.0))) / (F.col("holders") - 1)).alias("sum"))
-        both = marked_part.unionByName(open_part).groupBy("pattern", "kind").agg(F.sum("sum").alias("sum"))
-        scores = cut_lineage(both.join(total, "pattern").select("pattern", "kind", (F.col("sum") / F.col("total")).alias("score")))
-    kept = scores.where(F.col("score") >= threshold).groupBy("pattern").agg(F.max_by("kind", "score").alias("kind")).orderBy("pattern").collect()
-    return [(*candidates[r.pattern], r.kind) for r in kept if r.kind in TYPES]
-
-
-def find_types(turns: DataFrame, patterns: list[tuple[str, str, str]]) -> DataFrame:
+def find_types(turns: DataFrame, patterns: Learned) -> DataFrame:
     """Rows transcript_id, turn_id, field_name, pii_type: the types of which a field holds at least one."""
     source = turns.select("transcript_id", "turn_id", "text", "anonymised_text").where("text <> '' or anonymised_text <> ''")
     types = {c: source.schema[c].dataType.simpleString() for c in ("transcript_id", "turn_id")}
 
     def run(batches):
-        contexts = Contexts(patterns)
+        contexts, capitals = Contexts(patterns), _capitals()
         for part in (p for whole in batches for p in slices(whole, "text")):
             rows, fields, kinds = [], [], []
             plain = part.column("text").to_pylist()
             done: list[tuple] = []
             for name in ("text", "anonymised_text"):
-                texts = _prepared(part.column(name))[0]
+                texts, written = _prepared(part.column(name))[:2]
                 stored = plain if name == "text" else part.column(name).to_pylist()
-                for i, t in enumerate(texts):
-                    if name == "text":
-                        done.append(tuple({k for k, _, _ in search(Prepared(t).text, contexts)}) if t else ())
+                for i, (t, w) in enumerate(zip(texts, written)):
+                    if name == "anonymised_text" and stored[i] == plain[i]:
                         hit = done[i]
                     else:
-                        hit = done[i] if stored[i] == plain[i] else ({k for k, _, _ in search(Prepared(t).text, contexts)} if t else ())
+                        hit = tuple({k for k, _, _ in search(Prepared(t, w), contexts, patterns, capitals)}) if t else ()
+                    if name == "text":
+                        done.append(hit)
                     for k in hit:
                         rows.append(i)
                         fields.append(name)
@@ -345,24 +508,24 @@ def redact_text(text: str, found: list[tuple[str, int, int]]) -> str:
     return "".join([*out, text[at:]])
 
 
-def redact(turns: DataFrame, patterns: list[tuple[str, str, str]]) -> DataFrame:
+def redact(turns: DataFrame, patterns: Learned) -> DataFrame:
     """Rows transcript_id, turn_id, text, anonymised_text, n_found: both fields with typed placeholders; one row for each key."""
     source = turns.select("transcript_id", "turn_id", "text", "anonymised_text").where("transcript_id is not null").dropDuplicates(["transcript_id", "turn_id"])
     types = {c: source.schema[c].dataType.simpleString() for c in ("transcript_id", "turn_id")}
 
     def run(batches):
-        contexts = Contexts(patterns)
+        contexts, capitals = Contexts(patterns), _capitals()
         for part in (p for whole in batches for p in slices(whole, "text")):
             count, columns = np.zeros(len(part), np.int32), []
             for name in ("text", "anonymised_text"):
                 stored = part.column(name).to_pylist()
-                texts, low_off, src, offsets = _prepared(part.column(name))
+                texts, written, low_off, src, offsets = _prepared(part.column(name))
                 out = []
                 for i, (text, t) in enumerate(zip(stored, texts)):
                     found = []
                     if t:
-                        p = Prepared(t)
-                        for kind, a, b in search(p.text, contexts):
+                        p = Prepared(t, written[i])
+                        for kind, a, b in search(p, contexts, patterns, capitals):
                             while a < b and p.text[a] in " .,;":
                                 a += 1
                             while b > a and p.text[b - 1] in " ,;":

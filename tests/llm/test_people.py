@@ -301,3 +301,27 @@ def test_contexts_are_learned_from_all_spans(spark):
     spans = [(t, k, 8, x.index(" again"), "person_name") if t == "t" else (t, k, 12, 12 + len(few[k]), "person_name") for t, k, x, _ in rows]
     said, marked = spark.createDataFrame(rows, SAID), spark.createDataFrame(spans, "transcript_id string, turn_id int, span_start int, span_end int, pii_type string")
     assert ("i was named", " by mother", "person_name") in pii.learn_contexts(said, marked)
+
+
+PLAIN = [
+    ("Yesterday Maria Lopez came over.", {"person_name"}), ("I spoke with Priya Nair at the gate.", {"person_name"}), ("Dr Okafor changed my tablets.", {"person_name"}), ("We called Tomasz twice.", {"person_name"}),
+    ("It cost 1 234 567 dollars.", set()), ("The book is ISBN 978-0-306-40615-7.", set()), ("She lives at 12 Rue de la Paix.", {"address"}), ("They moved to 7 Via Garibaldi last year.", {"address"}), ("Meet at Hauptstraße 12 please.", {"address"}),
+    ("My neighbour Fatima brought soup.", {"person_name"}), ("Yesterday Sam rang.", {"person_name"}), ("I think Joseph Conrad wrote it.", {"person_name"}), ("After lunch Mrs Delgado drove home.", {"person_name"}), ("Our plumber is Giorgos Papadakis.", {"person_name"}),
+    ("It was a gift from Aisha for the baby.", {"person_name"}), ("Last week Henrik O'Brien fixed the roof.", {"person_name"}), ("The nurse, Agnes Mbeki, was kind.", {"person_name"}), ("On Fridays we eat fish.", set()), ("We went there by bus and it was raining.", set()),
+    ("Reach him on 020 7946 0991 after work.", {"phone"}), ("Send the bill to mira.k@post.example soon.", {"email"}), ("The file number is 4471 90213 8 I believe.", {"id_number"}), ("He walked 12 345 678 steps.", set()), ("I met her on 12/05/2019.", set()),
+]
+
+
+@pytest.mark.skipif(not __import__("os").path.exists("/root/testdata/sf0.01/turns.parquet"), reason="needs the test tables")
+def test_plain_sentences_that_follow_no_template(spark):
+    read = lambda t: spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet")
+    learned = pii.learn_contexts(read("turns"), read("spans"))
+    said = spark.createDataFrame([("t", i, x, None) for i, (x, _) in enumerate(PLAIN)], SAID)
+    found = {}
+    for r in pii.find_types(said, learned).collect():
+        found.setdefault(r.turn_id, set()).add(r.pii_type)
+    true = {(i, k) for i, (_, kinds) in enumerate(PLAIN) for k in kinds}
+    got = {(i, k) for i, kinds in found.items() for k in kinds}
+    assert len(true & got) >= 0.9 * len(true), sorted(true - got)
+    assert len(true & got) >= 0.9 * len(got), sorted(got - true)
+    assert not {i for i in (4, 5, 22, 23) if i in found}
