@@ -2,15 +2,20 @@
 
 A noisy channel in two steps, both by key and none over all pairs. First the words of names: within a transcript the more
 frequent of two spellings is a candidate for what the other meant; a spelling is attached to the candidate with the greatest
-posterior, log frequency plus log likelihood of the typing errors between them. Candidates meet through keys that a single
-error leaves equal (the word less one letter) or looser ones, and every spelling of a key is a candidate for the rarer ones; a
-loose key of many spellings is split by keys that the errors allowed leave equal, so no pair is lost. Then whole names, made
-of the attached words: nicknames lead to the name they stand for, reordered parts and titles are put right, abbreviated words
-are written out, and names that leave parts out (initials, surname or given name alone, place or initials of an organisation)
-are attached to the full name with the greatest posterior, if it holds most of the probability.
-
-Given names are told from surnames by being frequent over transcripts: words that stand in more than `common_share` of all
-transcripts. At most (words a transcript) / common_share such words exist; these go to the workers.
+posterior (log of the frequencies, log likelihood of the typing errors between them), unless it is likelier that it is a name of
+its own: the more letters a name has, the less likely two names of one transcript are that near to each other by chance.
+Candidates meet through keys that a single error leaves equal (the word less one letter) or looser ones, and every spelling of a
+key is a candidate for the rarer ones; a loose key of many spellings is split by keys that the errors allowed leave equal, so no
+pair is lost. Then whole names, made of the attached words: nicknames lead to the name they stand for, reordered parts and
+titles are put right, abbreviated words are written out, and names that leave parts out (initials, surname or given name alone,
+place or initials of an organisation) are attached to the full name with the greatest posterior, if it holds most of the
+probability.
+
+What names are made of is learned from the table itself (`Vocabulary`): given names are frequent over transcripts and stand in
+names of persons; words of organisations stand last, or before "of", where words of places stand first, or after "of"; a nickname
+is a given name that stands beside another with the same surname far more often than relatives would bring them together.
+Abbreviations are read as the learned word of greatest posterior, frequency times likelihood of the shortening. Words count if
+they stand in more than `common_share` of all transcripts, so at most (words a transcript) / common_share are learned.
 
 Defined results: null or blank surfaces and surfaces of other kinds (numbers, addresses, e-mails) link to nothing, equal
 surfaces always link, repeated rows count once, names that fit two persons about equally link to neither.
@@ -20,6 +25,7 @@ from __future__ import annotations
 
 import math
 import re
+from dataclasses import dataclass, field
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -28,32 +34,23 @@ from pyspark.sql import functions as F
 from sparkveil.llm.lookalike import fold_array
 from sparkveil.storage import cut_lineage
 
-# Nicknames and the names they stand for.
-NICKNAMES = {
-    "abby": "abigail", "gail": "abigail", "zac": "zachary", "zach": "zachary", "zack": "zachary", "dima": "dmitri", "mitya": "dmitri", "pip": "philippa", "pippa": "philippa",
-    "bill": "william", "billy": "william", "will": "william", "liam": "william", "mick": "michael", "mike": "michael", "mikey": "michael", "sue": "susannah", "suzie": "susannah", "susie": "susannah",
-    "maggie": "margaret", "peggy": "margaret", "meg": "margaret", "marge": "margaret", "etta": "henrietta", "hettie": "henrietta", "hetty": "henrietta", "mattie": "matilda", "tilly": "matilda", "tilda": "matilda",
-    "larry": "lawrence", "laurie": "lawrence", "chuck": "charles", "charlie": "charles", "seun": "oluwaseun", "bernie": "bernadette", "detta": "bernadette", "dot": "dorothy", "dottie": "dorothy", "dolly": "dorothy",
-    "becky": "rebecca", "becca": "rebecca", "bec": "rebecca", "kate": "katherine", "kathy": "katherine", "katie": "katherine", "kit": "christopher", "chris": "christopher", "vicky": "victoria", "tori": "victoria", "vic": "victoria",
-    "trish": "patricia", "patty": "patricia", "pat": "patricia", "tony": "anthony", "ant": "anthony", "nick": "nicholas", "nico": "nicholas", "frankie": "frances", "fran": "frances", "ned": "edward", "ted": "edward", "eddie": "edward", "ed": "edward",
-    "teddy": "theodore", "theo": "theodore", "len": "leonard", "lenny": "leonard", "leo": "leonard", "liz": "elizabeth", "betty": "elizabeth", "beth": "elizabeth", "lizzie": "elizabeth", "eliza": "elizabeth",
-    "sasha": "alexander", "xander": "alexander", "alex": "alexander", "sandy": "alexander", "josie": "josephine", "jo": "josephine", "sam": "samuel", "sammy": "samuel", "rob": "robert", "bob": "robert", "bobby": "robert", "robbie": "robert",
-    "deb": "deborah", "debbie": "deborah", "gabe": "gabriel", "gabi": "gabriel", "jon": "jonathan", "jonny": "jonathan", "priya": "priyanka", "andy": "andrew", "dave": "david", "dan": "daniel", "danny": "daniel",
-    "jim": "james", "jimmy": "james", "jack": "john", "joe": "joseph", "tom": "thomas", "tommy": "thomas", "ben": "benjamin", "matt": "matthew", "steve": "stephen", "dick": "richard", "rick": "richard", "jenny": "jennifer", "nikki": "nicole",
-}
 TITLES = frozenset("mr mrs ms miss dr doctor prof professor sir madam rev".split())
-# Words of organisation names with their usual abbreviations.
-ORG_WORDS = {
-    "school": ["sch"], "primary": ["prim"], "grammar": ["gram"], "college": ["coll"], "community": ["comm"], "institute": ["inst"], "technical": ["tech"], "university": ["univ", "uni"], "academy": ["acad"],
-    "association": ["assoc", "assn"], "rescue": [], "wildlife": [], "services": ["svcs", "serv"], "care": [], "practice": ["prac"], "family": ["fam"], "clinic": ["clin"], "dental": ["dent"], "centre": ["ctr", "center", "cent"], "medical": ["med"],
-    "trust": ["tr"], "housing": ["hsg"], "network": ["ntwk", "netw"], "bank": ["bk"], "food": [], "works": ["wks"], "joinery": ["join"], "union": ["un"], "credit": ["cr"], "limited": ["ltd"], "robotics": ["rob"], "group": ["grp", "gp"], "logistics": ["log"],
-    "company": ["co"], "hospital": ["hosp"], "department": ["dept"], "society": ["soc"], "foundation": ["fdn"], "council": ["cncl"], "church": [], "library": ["lib"], "bakery": [], "club": [],
-}
-FULL = {a: w for w, short in ORG_WORDS.items() for a in [w, *short]}
-LOG_ERROR = math.log(0.02)  # a priori log probability of one typing error
+ERROR = 3.0  # minus log of the probability of one typing error in a word
+LETTER = 2.4  # what a letter tells two names apart by, in nats
+OWN = 9.4  # how much likelier a priori, in nats, a new spelling is a name of its own
+GIVEN = 2.0  # what an equal given name says for one person
 SHARE = 0.75
 
 
+@dataclass(frozen=True)
+class Vocabulary:
+    """Words learned from the table with the number of transcripts they stand in; nicknames: given names with the one meant."""
+
+    given: dict[str, int] = field(default_factory=dict)
+    org: dict[str, int] = field(default_factory=dict)
+    nicknames: dict[str, str] = field(default_factory=dict)
+
+
 def distance(a: str, b: str, limit: int) -> int:
     """Insertions, deletions, substitutions and swaps of neighbours; limit + 1 if there are more than limit."""
     if abs(len(a) - len(b)) > limit:
@@ -76,38 +73,60 @@ def shortened(word: str) -> set[str]:
     return {word[:i] + word[i + 1 :] for i in range(len(word))}
 
 
+def weight_of_errors(letters: int, errors: int) -> float:
+    """Log odds that a name was meant as another one of about that many letters, against a name of its own."""
+    return LETTER * letters - OWN - errors * (ERROR + math.log(10 * letters))
+
+
+def shortening(short: str, word: str) -> float | None:
+    """Minus log likelihood of an abbreviation, given the word: its beginning, or letters of it in order; None if it is neither."""
+    if len(short) < 2 or len(short) >= len(word) or short[0] != word[0]:
+        return None
+    if word.startswith(short):
+        return 1.0
+    at = iter(word)
+    return 2.5 + (short[-1] != word[-1]) if all(c in at for c in short) else None
+
+
 class Reader:
-    """Reads surfaces as names, with the given names and organisation words that are known."""
+    """Reads surfaces as names, with the words that are known."""
 
-    def __init__(self, given: dict[str, int]) -> None:
-        self.given = {**{v: 1 for v in NICKNAMES.values()}, **{k: 1 for k in NICKNAMES}, **given}
+    def __init__(self, words: Vocabulary) -> None:
+        self.given, self.words, self.known = words.given, words.org, {}
         self.near: dict[str, list[str]] = {}
-        for w in self.given:
-            if len(w) >= 4:
-                for k in {w, *shortened(w)}:
-                    self.near.setdefault(k, []).append(w)
         self.org: dict[str, list[str]] = {}
-        for w in ORG_WORDS:
-            if len(w) >= 5:
-                for k in {w, *shortened(w)}:
-                    self.org.setdefault(k, []).append(w)
+        for table, index, least in ((self.given, self.near, 4), (self.words, self.org, 5)):
+            for w in table:
+                if len(w) >= least:
+                    for k in {w, *shortened(w)}:
+                        index.setdefault(k, []).append(w)
+        self.first: dict[str, list[str]] = {}
+        for w in self.words:
+            self.first.setdefault(w[0], []).append(w)
 
     def given_name(self, word: str, fuzzy: bool = True) -> str | None:
         if word in self.given:
-            return NICKNAMES.get(word, word)
+            return word
         if not fuzzy or len(word) < 4:
             return None
         near = {w for k in {word, *shortened(word)} for w in self.near.get(k, ()) if distance(word, w, 1) == 1}
-        best = max(near, key=lambda w: (self.given[w], w), default=None)
-        return NICKNAMES.get(best, best) if best else None
+        return max(near, key=lambda w: (self.given[w], w), default=None)
 
     def org_word(self, word: str) -> str | None:
-        if word in FULL:
-            return FULL[word]
-        if len(word) < 4:
-            return None
-        near = sorted({w for k in {word, *shortened(word)} for w in self.org.get(k, ()) if distance(word, w, 1) == 1})
-        return near[0] if near else None
+        """The word of organisations that was typed, of greatest posterior; an abbreviation that became frequent is read too."""
+        if word not in self.known:
+            best, top = None, -math.inf
+            if word in self.words:  # what shortens a more frequent word is rather that than a word of its own
+                best, top = word, math.log(self.words[word]) - OWN / 2
+            for w in self.first.get(word[:1], ()):
+                cost = shortening(word, w)
+                if cost is not None and self.words[w] > self.words.get(word, 0) and math.log(self.words[w]) - cost > top:
+                    best, top = w, math.log(self.words[w]) - cost
+            if best is None and len(word) >= 4:
+                near = {w for k in {word, *shortened(word)} for w in self.org.get(k, ()) if distance(word, w, 1) == 1}
+                best = max(near, key=lambda w: (self.words[w], w), default=None)
+            self.known[word] = best
+        return self.known[word]
 
     def read(self, surface: str, prefix: str | None):
         """(kind, main word or place, given name or organisation words, initials or form) of a folded surface, or None."""
@@ -164,13 +183,66 @@ class Reader:
         return ("person", tokens[-1], g, g[0])
 
 
-def common_words(surfaces: DataFrame, common_share: float = 0.002, least: int = 3) -> dict[str, int]:
-    """Words that stand in more than that share of the transcripts, mostly in names of persons, with the number of transcripts."""
+def common_words(surfaces: DataFrame, common_share: float = 0.001, least: int = 3) -> Vocabulary:
+    """Given names and words of organisations: words that stand in more than that share of the transcripts, told apart by the
+    names they stand in, and by their place in these."""
     total = surfaces.agg(F.approx_count_distinct("transcript_id")).first()[0]
-    words = surfaces.select("transcript_id", F.explode(F.split(F.lower("surface"), r"[\s,.]+")).alias("word"), (F.col("prefix") == "NAME").alias("name"))
-    words = words.where(F.col("word").rlike(r"^\p{L}{2,}$")).groupBy("word").agg(F.approx_count_distinct(F.when(F.col("name"), F.col("transcript_id"))).alias("n"), F.avg(F.col("name").cast("int")).alias("share"))
-    kept = words.where((F.col("n") >= max(least, math.ceil(total * common_share))) & (F.col("share") > 0.5))
-    return {r.word: r.n for r in kept.collect() if r.word not in FULL and r.word not in TITLES}
+    tokens = F.filter(F.split(F.regexp_replace(F.lower("surface"), r"^the ", ""), r"[\s,.]+"), lambda t: t != "")
+    split = surfaces.where(~F.col("surface").rlike(r"[0-9@/]")).select("transcript_id", (F.col("prefix") == "NAME").alias("name"), F.col("prefix").isin("ORG", "SCHOOL").alias("org"), tokens.alias("t"))
+    at = F.array_position("t", "of")
+    size = F.size("t")
+    # 1 for the place of a word of organisations, -1 for one of places, 0 where it may be either.
+    side = lambda i: F.when(~F.col("org"), 0).when(at > 1, F.when(i + 1 < at, 1).otherwise(-1)).when((size >= 3) & (i == size - 1), 1).when((size >= 4) & (i == size - 2), 1).when((size >= 3) & (i == 0), -1).when((size >= 4) & (i == 1), -1).otherwise(0)
+    words = split.select("transcript_id", "name", F.explode(F.transform("t", lambda w, i: F.struct(w.alias("word"), side(i).alias("side")))).alias("x")).select("transcript_id", "name", "x.word", "x.side").where(F.col("word").rlike(r"^[\p{L}'-]{2,}$") & (F.col("word") != "of"))
+    counted = words.groupBy("word").agg(F.approx_count_distinct(F.when(F.col("name"), F.col("transcript_id"))).alias("n"), F.avg(F.col("name").cast("int")).alias("share"), F.approx_count_distinct(F.when(F.col("side") > 0, F.col("transcript_id"))).alias("m"), F.sum(F.greatest("side", F.lit(0))).alias("ends"), F.sum(F.greatest(-F.col("side"), F.lit(0))).alias("begins"))
+    enough = max(least, math.ceil(total * common_share))
+    kept = counted.where((F.col("n") >= enough) & (F.col("share") > 0.5) | (F.col("m") >= enough) & (F.col("ends") > 3 * F.col("begins")) & (F.col("share") < 0.5)).collect()
+    org = {r.word: r.m for r in kept if r.share < 0.5}
+    return Vocabulary(_without_errors({r.word: r.n for r in kept if r.share > 0.5 and r.word not in TITLES}), _without_errors(org))
+
+
+def _without_errors(words: dict[str, int], times: int = 8) -> dict[str, int]:
+    """The words without those that are one typing error from a far more frequent one."""
+    index: dict[str, list[str]] = {}
+    for w in words:
+        for k in {w, *shortened(w)} if len(w) >= 6 else ():
+            index.setdefault(k, []).append(w)
+    near = lambda w: {v for k in {w, *shortened(w)} for v in index.get(k, ()) if v != w and distance(w, v, 1) == 1}
+    return {w: n for w, n in words.items() if len(w) < 6 or not any(words[v] >= times * n for v in near(w))}
+
+
+def alike(a: str, b: str) -> bool:
+    """Whether two given names begin alike or have two letters in a row in common, as most nicknames do with their names."""
+    return a[0] == b[0] or any(a[i : i + 2] in b for i in range(len(a) - 1))
+
+
+def learn_nicknames(names: DataFrame, given: dict[str, int], least: int = 3, odds: float = 6.0, crowd: int = 12) -> dict[str, str]:
+    """Given names with the one they stand for: pairs that stand in the same transcripts far more often than chance brings them
+    together (`odds` times; three times that, if they have no letters in common), and in at least `least` of them.
+
+    Of transcripts with more than `crowd` given names only pairs with one surname count, as there all names stand together.
+    """
+    usual = F.col("other").isin(*given) if given else F.lit(False)
+    rows = names.where((F.col("kind").isin("person", "given")) & (F.col("other") != "") & usual)
+    together = rows.groupBy("transcript_id").agg(F.collect_set("other").alias("g")).where(F.size("g") <= crowd)
+    surname = rows.where("main <> ''").groupBy("transcript_id", "main").agg(F.collect_set("other").alias("g")).join(together.select("transcript_id"), "transcript_id", "left_anti").select("transcript_id", "g")
+    sets = together.unionByName(surname).withColumn("g", F.array_sort("g"))
+    counted = sets.select(F.explode(F.concat(F.flatten(F.transform("g", lambda a, i: F.transform(F.filter("g", lambda b: b > a), lambda b: F.struct(a.alias("a"), b.alias("b"))))), F.transform("g", lambda a: F.struct(a.alias("a"), F.lit("").alias("b"))))).alias("p")).groupBy("p.a", "p.b").agg(F.count("*").alias("n"))
+    rows = counted.where((F.col("n") >= least) | (F.col("b") == "")).collect()  # at most as many as there are pairs of words
+    alone = {r.a: r.n for r in rows if not r.b}
+    total = sets.count()
+    meant: dict[str, tuple] = {}
+    for r in rows:
+        if r.b and r.n * total >= odds * (1 if alike(r.a, r.b) else 3) * alone[r.a] * alone[r.b]:
+            short, full = sorted((r.a, r.b), key=lambda g: (given[g], len(g), g))
+            meant[short] = max(meant.get(short, (0, "")), (r.n, full))
+    out = {}
+    for g in meant:
+        to = g
+        while to in meant:  # each step leads to a more frequent name
+            to = meant[to][1]
+        out[g] = to
+    return out
 
 
 def _surfaces(registry: DataFrame, spans: DataFrame | None) -> DataFrame:
@@ -186,9 +258,9 @@ def _surfaces(registry: DataFrame, spans: DataFrame | None) -> DataFrame:
     return counted.groupBy("transcript_id", "surface").agg(F.max_by("prefix", F.struct("n", "prefix")).alias("prefix"), F.sum("n").alias("n"))
 
 
-def _read_all(surfaces: DataFrame, given: dict[str, int]) -> DataFrame:
+def _read_all(surfaces: DataFrame, words: Vocabulary) -> DataFrame:
     def run(batches):
-        reader = Reader(given)
+        reader = Reader(words)
         for b in batches:
             read = [reader.read(s, p) or (None,) * 4 for s, p in zip(b.column("surface").to_pylist(), b.column("prefix").to_pylist())]
             yield pa.RecordBatch.from_arrays([*b.columns, *(pa.array([r[k] for r in read], pa.string()) for k in range(4))], names=[*b.schema.names, "kind", "main", "other", "initial"])
@@ -247,15 +319,16 @@ def attach_words(names: DataFrame, hot: int = 256) -> DataFrame:
     keyed = keyed.where(~loose | (F.col("members") <= hot)).drop("members").unionByName(parts)
     other = keyed.select("transcript_id", "kind", "key", F.col("main").alias("candidate"), F.col("n").alias("candidate_n"))
     offers = keyed.join(other, ["transcript_id", "kind", "key"]).where(F.struct("candidate_n", "candidate") > F.struct("n", "main"))
-    offers = offers.select("transcript_id", "kind", "main", "candidate", "candidate_n", "loose").distinct()
+    offers = offers.groupBy("transcript_id", "kind", "main", "candidate").agg(F.max("n").alias("n"), F.max("candidate_n").alias("candidate_n"), F.max("loose").alias("loose"))
 
     def score(batches):
         for b in batches:
             out = []
-            for w, c, n, loose in zip(*(b.column(x).to_pylist() for x in ("main", "candidate", "candidate_n", "loose"))):
+            for w, c, n, m, loose in zip(*(b.column(x).to_pylist() for x in ("main", "candidate", "n", "candidate_n", "loose"))):
                 most = most_errors(len(w), len(c), loose)
                 d = distance(w, c, most)
-                out.append(math.log(n + 0.5) + d * LOG_ERROR if d <= most else None)
+                odds = weight_of_errors(min(len(w), len(c)), d) + GIVEN * loose + math.log((m + 1) / (n + 1)) if d <= most else -1.0
+                out.append(odds + math.log(m + 1) if odds > 0 else None)
             yield pa.RecordBatch.from_arrays([*(b.column(x) for x in ("transcript_id", "kind", "main", "candidate")), pa.array(out, pa.float64())], names=["transcript_id", "kind", "main", "candidate", "posterior"])
 
     scored = offers.mapInArrow(score, f"transcript_id {t}, kind string, main string, candidate string, posterior double").where("posterior is not null")
@@ -278,14 +351,20 @@ def _attach(partial: DataFrame, full: DataFrame, on: list[str], extra=None) -> D
     return partial.join(total.where(F.col("most") >= SHARE * F.col("all")), on, "left")
 
 
-def link_names(registry: DataFrame, spans: DataFrame | None = None, common_share: float = 0.002) -> DataFrame:
+def link_names(registry: DataFrame, spans: DataFrame | None = None, common_share: float = 0.001) -> DataFrame:
     """Rows transcript_id, surface (in its consistent form), entity: surfaces of one entity name the same person or organisation."""
     surfaces = cut_lineage(_surfaces(registry, spans))
-    names = _read_all(surfaces, common_words(surfaces, common_share))
+    known = common_words(surfaces, common_share)
+    names = cut_lineage(_read_all(surfaces, known))
     words = attach_words(names)
     group = F.when(F.col("kind") == "person", "person").otherwise("place")
     names = names.withColumn("group", group).join(words.select("transcript_id", F.col("kind").alias("group"), "main", "canonical"), ["transcript_id", "group", "main"], "left")
     names = cut_lineage(names.withColumn("main", F.coalesce("canonical", "main")).select("transcript_id", "surface", "prefix", "n", "kind", "main", "other", "initial"))
+    nicknames = learn_nicknames(names, known.given)
+    if nicknames:
+        table = F.broadcast(names.sparkSession.createDataFrame(sorted(nicknames.items()), "other string, meant string"))
+        names = names.join(table, "other", "left").withColumn("other", F.coalesce("meant", "other")).drop("meant")
+        names = names.withColumn("initial", F.when((F.col("other") != "") & F.col("kind").isin("person", "given"), F.substring("other", 1, 1)).otherwise(F.col("initial")))
     key = lambda *parts: F.concat_ws("|", *parts)
     keep = ["transcript_id", "surface", "entity"]
     # Persons.
@@ -305,8 +384,7 @@ def link_names(registry: DataFrame, spans: DataFrame | None = None, common_share
     # Organisations.
     org = names.where("kind = 'org'").withColumn("entity", key(F.lit("org"), "main", "other"))
     letters = F.array_join(F.transform(F.split(F.concat_ws(" ", F.translate("main", "-", " "), "other"), " "), lambda w: F.substring(w, 1, 1)), "")
-    school = F.col("other").rlike("school|college|institute|university|academy")
-    typed = org.withColumn("main_letters", letters).withColumn("side", F.when(school, "SCHOOL").otherwise("ORG"))
+    typed = org.withColumn("main_letters", letters).withColumn("side", F.col("prefix"))
     place = names.where("kind = 'place'").withColumn("side", F.col("prefix"))
     exact = _attach(place, typed.select("transcript_id", "main", "n", "entity", "side"), ["transcript_id", "main", "side"]).withColumnRenamed("to", "to_side").drop("all", "most")
     place = _attach(exact, typed.select("transcript_id", "main", "n", "entity"), ["transcript_id", "main"]).withColumn("entity", F.coalesce("to", "to_side", key(F.lit("place"), "main")))
@@ -318,7 +396,7 @@ def link_names(registry: DataFrame, spans: DataFrame | None = None, common_share
     return out
 
 
-def registry_pairs(registry: DataFrame, spans: DataFrame | None = None, common_share: float = 0.002) -> DataFrame:
+def registry_pairs(registry: DataFrame, spans: DataFrame | None = None, common_share: float = 0.001) -> DataFrame:
     """Rows transcript_id, ord_a, ord_b: all pairs of registry rows of one transcript that name the same entity, ord_a < ord_b."""
     rows = registry.select("transcript_id", "ord", "surface_key").where("transcript_id is not null and ord is not null and trim(surface_key) <> ''").distinct()
     rows = rows.mapInArrow(lambda batches: (pa.RecordBatch.from_arrays([b.column("transcript_id"), b.column("ord"), fold_array(b.column("surface_key"), True)], names=["transcript_id", "ord", "surface"]) for b in batches), f"transcript_id {rows.schema['transcript_id'].dataType.simpleString()}, ord {rows.schema['ord'].dataType.simpleString()}, surface string")

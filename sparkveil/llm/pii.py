@@ -23,13 +23,13 @@ from __future__ import annotations
 
 import re
 from bisect import bisect_right
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sparkveil.functions.spans import find_all
 from sparkveil.llm.codepoints import from_codepoints, slices, to_codepoints
 from sparkveil.llm.lookalike import fold_codepoints, tables
 from sparkveil.storage import cut_lineage
@@ -246,8 +246,25 @@ class Contexts:
 
 # Candidates: runs of capitalised words, with small words of names between them, and runs of digits.
 _SMALL = "(?: (?:de|da|di|do|du|dos|del|della|la|le|van|von|der|den|ter|bin|al|el|of))"
-CAPITALS = rf"(?<![\p{{L}}\p{{N}}_@/.'’\[-])\p{{Lu}}[\p{{L}}\p{{M}}'’-]*+(?![\p{{N}}_@])(?:\.?{_SMALL}{{0,2}} \p{{Lu}}[\p{{L}}\p{{M}}'’-]*+(?![\p{{N}}_@]))*"
-DIGITS = r"(?<![\p{L}\p{N}_$£€.,/:-])[+(]?\p{Nd}[\p{Nd} ()./-]{5,}\p{Nd}"
+_SHORT = r"\p{Lu}\p{Ll}{0,3}\.(?= )"  # initials and titles
+_WORD = r"\p{Lu}[\p{L}\p{M}'’-]*+(?![\p{N}_@])"
+CAPITALS = rf"(?=\p{{Lu}})(?<![\p{{L}}\p{{N}}_@/.'’\[-])(?:{_SHORT}|{_WORD})(?:{_SMALL}{{0,2}} (?:{_SHORT}|{_WORD}))*"
+DIGITS = r"(?=[+(\p{Nd}])(?<![\p{L}\p{N}_$£€.,/:-])[+(]?\p{Nd}[\p{Nd} ()./-]{5,}\p{Nd}"
+
+
+@lru_cache(maxsize=1)
+def capitals() -> re.Pattern:
+    """CAPITALS in the dialect of Python."""
+    upper = [c for c in range(0x41, 0x1F200) if chr(c).isupper()]
+    runs = "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in _runs(upper))
+    word = rf"[{runs}](?:[^\W\d_]|[\u0300-\u036f'’-])*+(?![\d_@])"
+    part = rf"(?:[{runs}][^\W\d_]{{0,3}}\.(?= )|{word})"
+    return re.compile(rf"(?<![\w@/.'’\[-]){part}(?:{_SMALL}{{0,2}} {part})*")
+
+
+def _runs(numbers: list[int]):
+    at = [0, *[i for i in range(1, len(numbers)) if numbers[i] != numbers[i - 1] + 1], len(numbers)]
+    return [(numbers[a], numbers[b - 1]) for a, b in zip(at, at[1:])]
 
 
 def hashed(pattern: str) -> int:
@@ -285,12 +302,13 @@ def patterns_of(left: str, right: str, low: str, shape: str) -> list[str]:
 def _candidates(turns: DataFrame) -> DataFrame:
     """Rows transcript_id, turn_id, a, b, surface, kind (name, number), lefts, rights, patterns (hashes): every candidate."""
     text = turns.select("transcript_id", "turn_id", "text").where("text <> ''")
-    found = text.select("*", F.explode(F.expr(f"""concat(
-        transform({find_all("text", f"r\"{CAPITALS}\"", "rlike(text, r'[\\p{Lu}]')")}, s -> named_struct('start', s.start, 'text', s.text, 'kind', 'name')),
-        transform({find_all("text", f"r'{DIGITS}'", "rlike(text, r'[0-9]{2}')")}, s -> named_struct('start', s.start, 'text', s.text, 'kind', 'number')))""")).alias("s"))
-    before = F.rtrim(F.substring("text", F.lit(1), F.col("s.start")))
+    # One search: each match is set between two control characters, and the text taken apart at the first of them.
+    apart = F.split(F.regexp_replace(F.translate("text", "\x01\x02", "  "), F.lit(f"{CAPITALS}|{DIGITS}"), F.lit("\x01$0\x02")), "\x01")
+    found = text.select("transcript_id", "turn_id", apart.alias("parts")).where("size(parts) > 1")
+    found = found.select("transcript_id", "turn_id", F.translate(F.array_join("parts", ""), "\x02", "").alias("text"), F.explode(F.expr("transform(slice(parts, 2, size(parts)), (x, i) -> struct(translate(array_join(slice(parts, 1, i + 1), ''), '\x02', '') as before, substring_index(x, '\x02', 1) as text))")).alias("s"))
+    before = F.rtrim("s.before")
     opens = (before == "") | before.rlike(r'[.!?:;"“—\-\n\]]$')
-    found = found.select("transcript_id", "turn_id", "text", "s", opens.alias("opens"), F.instr("s.text", " ").alias("space"))
+    found = found.select("transcript_id", "turn_id", "text", F.struct(F.length("s.before").alias("start"), "s.text", F.when(F.col("s.text").rlike(r"^\p{Lu}"), "name").otherwise("number").alias("kind")).alias("s"), opens.alias("opens"), F.instr("s.text", " ").alias("space"))
     whole = lambda place: F.struct(F.col("s.start").alias("a"), F.col("s.text").alias("surface"), place.alias("place"))
     head = F.struct(F.col("s.start").alias("a"), F.substring("s.text", F.lit(1), F.col("space") - 1).alias("surface"), F.lit("i").alias("place"))
     rest = F.struct((F.col("s.start") + F.col("space")).alias("a"), F.substring("s.text", F.col("space") + 1, F.length("s.text")).alias("surface"), F.lit("m").alias("place"))
@@ -320,6 +338,7 @@ def _logit(x: Column) -> Column:
     return F.log(x / (1 - x))
 
 
+NEVER = -6.0  # score of a word that stands often and is never marked: nothing beside it makes a name of it
 DAMP = 0.6  # patterns of a candidate repeat each other, so each counts less than in full
 
 
@@ -330,20 +349,29 @@ class Learned(list):
     def __init__(self, templates=(), prior: float = -9.0, scores: dict[int, float] | None = None, numbers: dict[int, tuple] | None = None) -> None:
         super().__init__(templates)
         self.prior, self.scores, self.numbers = prior, scores or {}, numbers or {}
+        self.read: dict[str, float] = {}
+
+    def score(self, pattern: str) -> float:
+        known = self.read.get(pattern)
+        if known is None:
+            if len(self.read) > 300_000:
+                self.read.clear()
+            known = self.read[pattern] = self.scores.get(hashed(pattern), 0.0)
+        return known
 
     def person(self, patterns: list[str]) -> float:
         """Log odds that a candidate with these patterns is a person. The shape, the last of them, which every candidate has,
         counts in full."""
-        said = [self.scores.get(hashed(p), 0.0) for p in patterns]
+        said = [self.score(p) for p in patterns]
         return self.prior + DAMP * sum(said[:-1]) + said[-1]
 
     def evidence(self, patterns: list[str]) -> float:
         """What the words after a candidate and its own say."""
-        return DAMP * sum(self.scores.get(hashed(p), 0.0) for p in patterns[2:-1])
+        return DAMP * sum(self.score(p) for p in patterns[2:-1])
 
     def opens_name(self, word: str) -> bool:
         """Whether a word is a title or a given name, even at the beginning of a sentence."""
-        return self.scores.get(hashed(f"w {word}"), 0.0) > 1 and self.scores.get(hashed(f"x {word}"), 0.0) > -2
+        return self.score(f"w {word}") > 1 and self.score(f"x {word}") > -2
 
     def number(self, left: str, right: str) -> tuple | None:
         """Mean shares of what the words beside a number say; None if they are not known."""
@@ -404,12 +432,13 @@ def _templates(turns: DataFrame, instances: DataFrame, every: DataFrame, least:
     good = cut_lineage(good)
     held = every.join(F.broadcast(good.select("lefts", "rights").distinct()), ["lefts", "rights"]).groupBy("lefts", "rights").agg(F.sum("n").alias("all"))
     by_type = instances.join(F.broadcast(good), ["lefts", "rights", "mark"], "left_semi").join(every.where("mark is not null").select("surface", "lefts", "rights", "mark", "n").groupBy("surface", "lefts", "rights", "mark").agg(F.sum("n").alias("n")), ["surface", "lefts", "rights", "mark"], "left").groupBy("lefts", "rights", "mark").agg(F.sum(F.coalesce("n", F.lit(1))).alias("n"))
-    # How often three words stand in the corpus, whatever is beside them.
+    # How often three words stand in the corpus, whatever is beside them; words and sides as numbers.
     side = lambda c, n: F.when(F.size(F.split(F.ltrim(c), " ")) == n, F.ltrim(F.col(c)))
-    sides = good.select(F.explode(F.array(side("lefts", 3), side("rights", 3))).alias("words")).where("words is not null").distinct()
+    three_of = lambda w, i: F.xxhash64(w[i], w[i + 1], w[i + 2])
+    sides = good.select(F.explode(F.array(side("lefts", 3), side("rights", 3))).alias("words")).where("words is not null").distinct().withColumn("h", three_of(F.split("words", " "), 0))
     words = turns.where("text <> ''").select(F.split(F.lower("text"), " ").alias("w")).where("size(w) > 2")
-    three = words.select(F.explode(F.expr("transform(sequence(1, size(w) - 2), i -> concat_ws(' ', slice(w, i, 3)))")).alias("words"))
-    counts = three.join(F.broadcast(sides), "words").groupBy("words").agg(F.count("*").alias("stands"))
+    three = words.select(F.explode(F.expr("transform(sequence(0, size(w) - 3), i -> xxhash64(w[i], w[i + 1], w[i + 2]))")).alias("h"))
+    counts = three.join(F.broadcast(sides), "h").groupBy("words").agg(F.count("*").alias("stands"))
     counts = cut_lineage(counts)
     both = by_type.join(held, ["lefts", "rights"]).withColumn("lw", side("lefts", 3)).withColumn("rw", side("rights", 3))
     # Without three words on one side, two on both are enough: then what else stands there is known of candidates only.
@@ -420,13 +449,7 @@ def _templates(turns: DataFrame, instances: DataFrame, every: DataFrame, least:
     return [(r.lefts, r.rights, r.mark) for r in kept.orderBy("lefts", "rights").collect()]
 
 
-def _capitals():
-    import regex
-
-    return regex.compile(CAPITALS)
-
-
-def search(p: Prepared, contexts: Contexts, learned: Learned, capitals=None):
+def search(p: Prepared, contexts: Contexts, learned: Learned):
     """(type, start, end) of the identifiers in a prepared text."""
     t, out = p.text, []
     for kind, a, b in formats(t):
@@ -441,15 +464,15 @@ def search(p: Prepared, contexts: Contexts, learned: Learned, capitals=None):
     for (_, _, kind), a, b in contexts.find(t):
         if kind in PLACEHOLDER and t.count(" ", a, b) < 12 and fits(kind, t[a:b]) and not any(x < b and a < y for _, x, y in out):
             out.append((kind, a, b))
-    if capitals is not None and p.written and learned.scores:
-        for m in capitals.finditer(p.written):
+    if p.written and learned.scores:
+        for m in capitals().finditer(p.written):
             start, surface = m.start(), m[0]
             opens = begins_sentence(p.written[:start])
             if opens and " " in surface and learned.opens_name(t[start : start + surface.index(" ")].strip(".")):
                 opens = False
             for a, b, piece, place in pieces_of(start, surface, opens):
                 low = t[a:b]
-                if b - a < 2 or low in NOT_NAMES or any(x < b and a < y for _, x, y in taken):
+                if b - a < 2 or low in NOT_NAMES or learned.score(f"x {low}") < NEVER or any(x < b and a < y for _, x, y in taken):
                     continue
                 patterns = patterns_of(left_context(t[:a]), right_context(t[b:]), low, shape_of(piece, place))
                 # A single word at the beginning of a sentence, or all in capitals, needs evidence besides its place and shape.
@@ -473,7 +496,7 @@ def find_types(turns: DataFrame, patterns: Learned) -> DataFrame:
     types = {c: source.schema[c].dataType.simpleString() for c in ("transcript_id", "turn_id")}
 
     def run(batches):
-        contexts, capitals = Contexts(patterns), _capitals()
+        contexts = Contexts(patterns)
         for part in (p for whole in batches for p in slices(whole, "text")):
             rows, fields, kinds = [], [], []
             plain = part.column("text").to_pylist()
@@ -485,7 +508,7 @@ def find_types(turns: DataFrame, patterns: Learned) -> DataFrame:
                     if name == "anonymised_text" and stored[i] == plain[i]:
                         hit = done[i]
                     else:
-                        hit = tuple({k for k, _, _ in search(Prepared(t, w), contexts, patterns, capitals)}) if t else ()
+                        hit = tuple({k for k, _, _ in search(Prepared(t, w), contexts, patterns)}) if t else ()
                     if name == "text":
                         done.append(hit)
                     for k in hit:
@@ -514,7 +537,7 @@ def redact(turns: DataFrame, patterns: Learned) -> DataFrame:
     types = {c: source.schema[c].dataType.simpleString() for c in ("transcript_id", "turn_id")}
 
     def run(batches):
-        contexts, capitals = Contexts(patterns), _capitals()
+        contexts = Contexts(patterns)
         for part in (p for whole in batches for p in slices(whole, "text")):
             count, columns = np.zeros(len(part), np.int32), []
             for name in ("text", "anonymised_text"):
@@ -525,7 +548,7 @@ def redact(turns: DataFrame, patterns: Learned) -> DataFrame:
                     found = []
                     if t:
                         p = Prepared(t, written[i])
-                        for kind, a, b in search(p, contexts, patterns, capitals):
+                        for kind, a, b in search(p, contexts, patterns):
                             while a < b and p.text[a] in " .,;":
                                 a += 1
                             while b > a and p.text[b - 1] in " ,;":

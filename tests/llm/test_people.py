@@ -11,10 +11,16 @@ REGISTRY = "transcript_id string, surface_key string, prefix string, n int, toke
 GIVEN = ["samuel", "yusuf", "abigail", "henrietta", "robert", "christopher", "matilda", "lawrence"]
 
 
+NICKNAMES = {"sammy": "samuel", "gail": "abigail", "hettie": "henrietta", "tilly": "matilda"}
+
+
 def pairs_of(spark, surfaces, prefix="NAME"):
-    """Pairs of surfaces of one transcript that come out linked. Other transcripts make the given names frequent."""
+    """Pairs of surfaces of one transcript that come out linked. Other transcripts show what names are made of: given names,
+    nicknames beside them, kinds of organisations."""
     rows = [("t", s, p if isinstance(s, str) else prefix, 1, "", i) for i, (s, p) in enumerate((x if isinstance(x, tuple) else (x, prefix)) for x in surfaces)]
-    rows += [(f"o{k}", f"{g} {'abcdefgh'[k]}{g[::-1]}son", "NAME", 1, "", j) for k in range(8) for j, g in enumerate(GIVEN)]
+    rows += [(f"o{k}{g}", f"{g} {'abcdefgh'[k]}{g[::-1]}son", "NAME", 1, "", 0) for k in range(8) for g in GIVEN]
+    rows += [(f"q{k}{n}", f"{x} {'abcde'[k]}{n[::-1]}man", "NAME", 1, "", i) for k in range(5) for n, g in NICKNAMES.items() for i, x in enumerate((n, g))]
+    rows += [(f"r{k}{o[0]}", f"{o} of {p}" if k % 2 else f"{p} {o}", "ORG", 1, "", 0) for k, p in enumerate(("orrin glen", "pewter moor", "hexley point", "ivelet fold", "corran reach", "stavely nook")) for o in ("grammar school", "housing trust", "dental clinic")]
     df = spark.createDataFrame(rows, REGISTRY)
     text = [x[0] if isinstance(x, tuple) else x for x in surfaces]
     return {(text[r.ord_a], text[r.ord_b]) for r in names.registry_pairs(df).where("transcript_id = 't'").collect()}
@@ -325,3 +331,43 @@ def test_plain_sentences_that_follow_no_template(spark):
     assert len(true & got) >= 0.9 * len(true), sorted(true - got)
     assert len(true & got) >= 0.9 * len(got), sorted(got - true)
     assert not {i for i in (4, 5, 22, 23) if i in found}
+
+
+def test_names_of_their_own_stay_apart(spark):
+    for a, b in (("lee wong", "lee wang"), ("anna hansen", "anna jansen"), ("peter miller", "peter milner")):
+        assert pairs_of(spark, [a, b]) == set()
+    assert pairs_of(spark, ["anna petrosjansky", "anna petrosjansly"]) == {("anna petrosjansky", "anna petrosjansly")}
+
+
+def test_nicknames_are_learned_from_names_that_stand_together(spark):
+    rng = random.Random(6)
+    given = ["margaret", "peggy", "theodore", "ted", "ingrid", "yusuf", "hiroko", "aroha"]
+    rows = []
+    for t in range(300):
+        main = "".join(rng.choice("bdfglmnprst") + rng.choice("aeiou") for _ in range(5))
+        g = rng.choice(["margaret", "theodore", "ingrid", "yusuf", "hiroko", "aroha"])
+        nick = {"margaret": "peggy", "theodore": "ted"}.get(g)
+        rows.append((f"t{t}", "person", main, g, 1))
+        if nick and rng.random() < 0.5:
+            rows.append((f"t{t}", "person", main, nick, 1))
+        if rng.random() < 0.2:
+            rows.append((f"t{t}", "person", main, rng.choice(given[4:]), 1))
+    rows += [("hub", "person", f"n{i}{g}", g, 1) for i in range(3) for g in given + [f"x{k}" for k in range(20)]]
+    known = {**{g: 50 for g in given}, "peggy": 20, "ted": 20, **{f"x{k}": 1 for k in range(20)}}
+    assert names.learn_nicknames(spark.createDataFrame(rows, NAMES), known) == {"peggy": "margaret", "ted": "theodore"}
+
+
+def test_words_of_organisations_are_learned_from_their_place(spark):
+    places = ["kirrin farm", "vardy cross", "maplin ridge", "dunmere bay", "orrin glen", "hexley point", "larkhill garth", "ivelet fold"]
+    kinds = ["grammar school", "housing trust", "wildlife rescue association", "food bank network"]
+    rows = []
+    for t in range(64):
+        p, k = places[t % 8], kinds[t // 8 % 4]
+        rows += [(f"t{t}", f"{p} {k}", "ORG", 1), (f"t{t}", f"{k} of {p}", "ORG", 1), (f"t{t}", f"anna {p.split()[0]}", "NAME", 1)]
+        if t % 3 == 0:
+            rows.append((f"t{t}", f"{p} {' '.join(w[:4] + '.' for w in k.split())}", "ORG", 1))
+    words = names.common_words(spark.createDataFrame(rows, "transcript_id string, surface string, prefix string, n long"))
+    assert set(" ".join(kinds).split()) <= set(words.org) and not {w for p in places for w in p.split()} & set(words.org)
+    reader = names.Reader(words)
+    assert reader.read("kirrin farm gram. sch.", "SCHOOL")[:3] == ("org", "kirrin farm", "grammar school")
+    assert reader.read("wild. resc. assn of orrin glen", "ORG")[:3] == ("org", "orrin glen", "wildlife rescue association")
