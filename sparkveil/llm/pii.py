@@ -57,6 +57,7 @@ NUMBER = re.compile(r"(?<![\w$£€.,/:-])(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,5}\)[ .-
 STREET_FIRST = re.compile(r"(?<![\w$£€.,/])\d{1,4}(?: ?[a-z]|(?: bis| ter))?,? (?:rue|avenue|av|boulevard|bd|place|chemin|impasse|quai|calle|avenida|paseo|plaza|via|viale|corso|piazza|rua|largo|ulica|ul)\b\.?(?: (?:d[ei]|la|las|los|le|les|du|des|del|della|dos|da|l'))*(?: ?[^\W\d][\w'’-]+){1,3}?(?=[^\w'’-]|$)")
 NUMBER_LAST = re.compile(r"(?<![\w'’-])[^\W\d][\w'’-]*(?:straße|strasse|gasse|weg|allee|straat|laan|gatan|vej) \d{1,4}[a-z]?\b")
 GROUPED = re.compile(r"^[1-9]\d{0,2}([ .])\d{3}(?:\1\d{3})+$")  # an amount: thousands set apart
+DIGIT = re.compile(r"\d")
 DATE = re.compile(r"^(?:\d{1,2}([/.-])\d{1,2}\1\d{2,4}|\d{4}([/.-])\d{1,2}\2\d{1,2})$")
 CODE = re.compile(r"(?<![\w/.-])(?:[a-z]{1,3}[-/]?\d[\d/-]{4,}\d|[a-z]{2}(?: \d\d){3} [a-z])(?![\w/-])")
 SPOKEN = re.compile(rf"\b(?:(?:{UNITS}|double|triple)[ ,]+){{6,}}(?:{UNITS})\b")
@@ -136,9 +137,10 @@ def formats(t: str):
         n = len(d := spoken_digits(m[0]))
         if n >= 7:
             out.append(("phone" if n in (10, 11, 12) or (d[0] == "0" and n > 9) else "id_number", *m.span()))
-    addresses = [m.span() for x in (ADDRESS, STREET_FIRST, NUMBER_LAST) for m in x.finditer(t)]
+    digits = DIGIT.search(t)
+    addresses = [m.span() for x in ((ADDRESS, STREET_FIRST, NUMBER_LAST) if digits else (ADDRESS,)) for m in x.finditer(t)]
     out += [("address", *x) for x in addresses]
-    if any(c.isdigit() for c in t):
+    if digits:
         numbers = []
         for m in NUMBER.finditer(t):
             x = m[0]
@@ -299,35 +301,48 @@ def patterns_of(left: str, right: str, low: str, shape: str) -> list[str]:
     return [f"l {l[-1]}", f"m {' '.join(l[-2:])}", f"r {' '.join(r[:2])}", f"q {' '.join(r[:3])}", f"w {w[0]}", f"v {w[-1]}", f"x {low}", f"s {shape}"]
 
 
+ENDS = [*".!?;:"]
+OPENERS = [*".!?:;\"“—-\n]"]
+
+
 def _candidates(turns: DataFrame) -> DataFrame:
-    """Rows transcript_id, turn_id, a, b, surface, kind (name, number), lefts, rights, patterns (hashes): every candidate."""
+    """Rows transcript_id, turn_id, a, b, surface, kind (name, number), lefts, rights, place, shape: every candidate."""
     text = turns.select("transcript_id", "turn_id", "text").where("text <> ''")
     # One search: each match is set between two control characters, and the text taken apart at the first of them.
-    apart = F.split(F.regexp_replace(F.translate("text", "\x01\x02", "  "), F.lit(f"{CAPITALS}|{DIGITS}"), F.lit("\x01$0\x02")), "\x01")
-    found = text.select("transcript_id", "turn_id", apart.alias("parts")).where("size(parts) > 1")
-    found = found.select("transcript_id", "turn_id", F.translate(F.array_join("parts", ""), "\x02", "").alias("text"), F.explode(F.expr("transform(slice(parts, 2, size(parts)), (x, i) -> struct(translate(array_join(slice(parts, 1, i + 1), ''), '\x02', '') as before, substring_index(x, '\x02', 1) as text))")).alias("s"))
-    before = F.rtrim("s.before")
-    opens = (before == "") | before.rlike(r'[.!?:;"“—\-\n\]]$')
-    found = found.select("transcript_id", "turn_id", "text", F.struct(F.length("s.before").alias("start"), "s.text", F.when(F.col("s.text").rlike(r"^\p{Lu}"), "name").otherwise("number").alias("kind")).alias("s"), opens.alias("opens"), F.instr("s.text", " ").alias("space"))
-    whole = lambda place: F.struct(F.col("s.start").alias("a"), F.col("s.text").alias("surface"), place.alias("place"))
-    head = F.struct(F.col("s.start").alias("a"), F.substring("s.text", F.lit(1), F.col("space") - 1).alias("surface"), F.lit("i").alias("place"))
-    rest = F.struct((F.col("s.start") + F.col("space")).alias("a"), F.substring("s.text", F.col("space") + 1, F.length("s.text")).alias("surface"), F.lit("m").alias("place"))
-    run = F.struct(F.col("s.start").alias("a"), F.col("s.text").alias("surface"), F.lit("w").alias("place"))  # for templates only
-    parts = F.when((F.col("s.kind") == "name") & F.col("opens") & (F.col("space") > 0), F.array(head, rest, run)).otherwise(F.array(whole(F.when(F.col("opens"), "i").otherwise("m"))))
-    each = found.select("transcript_id", "turn_id", "text", F.col("s.kind").alias("kind"), F.explode(parts).alias("p"))
-    each = each.select("transcript_id", "turn_id", "text", "kind", F.col("p.a").alias("a"), (F.col("p.a") + F.length("p.surface")).alias("b"), F.col("p.surface").alias("written"), F.lower("p.surface").alias("surface"), "p.place")
+    parts = F.split(F.regexp_replace(F.translate("text", "\x01\x02", "  "), F.lit(f"{CAPITALS}|{DIGITS}"), F.lit("\x01$0\x02")), "\x01")
+    found = text.select("transcript_id", "turn_id", parts.alias("parts")).where("size(parts) > 1")
+    found = found.select("*", F.explode(F.expr("sequence(2, size(parts))")).alias("j"))
+    # Three parts at either side hold three words or all there are.
+    plain = lambda x: F.translate(F.array_join(x, ""), "\x02", "")
+    found = found.select(
+        "transcript_id", "turn_id", F.expr("aggregate(slice(parts, 1, j - 1), 2 - j, (n, x) -> n + length(x))").alias("start"), F.substring_index(F.element_at("parts", F.col("j")), "\x02", 1).alias("run"),
+        plain(F.slice("parts", F.greatest(F.lit(1), F.col("j") - 3), F.least(F.lit(3), F.col("j") - 1))).alias("before"), plain(F.slice("parts", F.col("j"), F.lit(3))).alias("behind"),
+    )
+    found = found.withColumn("start", F.when(F.col("start") < 0, 0).otherwise(F.col("start")))
+    trimmed = F.rtrim("before")
+    opens = (trimmed == "") | F.right(trimmed, F.lit(1)).isin(*OPENERS)
+    found = found.select("*", opens.alias("opens"), F.instr("run", " ").alias("space"), F.when(F.substring("run", 1, 1).rlike(r"\p{Lu}"), "name").otherwise("number").alias("kind"))
+    piece = lambda first, surface, place: F.struct(first.cast("int").alias("at"), surface.alias("written"), place.alias("place"))
+    head, rest = F.substring("run", F.lit(1), F.col("space") - 1), F.substring("run", F.col("space") + 1, F.length("run"))
+    both = F.array(piece(F.lit(0), head, F.lit("i")), piece(F.col("space"), rest, F.lit("m")), piece(F.lit(0), F.col("run"), F.lit("w")))  # w: for templates only
+    one = F.array(piece(F.lit(0), F.col("run"), F.when(F.col("opens"), "i").otherwise("m")))
+    each = found.select("transcript_id", "turn_id", "start", "before", "behind", "run", "kind", F.explode(F.when((F.col("kind") == "name") & F.col("opens") & (F.col("space") > 0), both).otherwise(one)).alias("p"))
+    each = each.select("transcript_id", "turn_id", "kind", "p.place", "p.written", (F.col("start") + F.col("p.at")).alias("a"), F.concat("before", F.substring("run", F.lit(1), F.col("p.at"))).alias("before"), F.substring("behind", F.col("p.at") + F.length("p.written") + 1, F.length("behind")).alias("behind"), F.lower("p.written").alias("surface"))
     each = each.where(~F.col("surface").isin(*NOT_NAMES) & (F.length("surface") > 1))
-    left = F.lower(F.substring_index(F.rtrim(F.substring("text", F.lit(1), F.col("a"))), " ", -3))
-    left = F.regexp_replace(F.regexp_replace(left, r"^.*[.!?;:] ", ""), r"^.*[.!?;:]$", "")
-    right = F.lower(F.substring_index(F.substring("text", F.col("b") + 1, F.length("text")), " ", 4))
-    right = F.rtrim(F.rtrim(F.regexp_extract(right, r"^[^.!?;]*", 0)), F.lit(","))
-    each = each.select("transcript_id", "turn_id", "a", "b", "surface", "kind", "place", left.alias("lefts"), F.when(right == "", ".").otherwise(right).alias("rights"), F.concat("place", F.least(F.size(F.split("surface", " ")), F.lit(3)).cast("string"), F.when((F.length("written") > 2) & (F.upper("written") == F.col("written")), "A").otherwise("")).alias("shape"))
-    words = F.split(F.replace("surface", F.lit("."), F.lit("")), " ")
+    each = each.withColumn("left", F.lower(F.substring_index(F.rtrim("before"), " ", -3))).withColumn("right", F.lower(F.substring_index("behind", " ", 4)))
+    left = F.when(F.right("left", F.lit(1)).isin(*ENDS), "").otherwise(F.regexp_replace("left", r"^.*[.!?;:] ", ""))
+    right = F.rtrim(F.rtrim(F.regexp_extract("right", r"^[^.!?;]*", 0)), F.lit(","))
+    shape = F.concat("place", F.least(F.length("surface") - F.length(F.replace("surface", F.lit(" "))) + 1, F.lit(3)).cast("string"), F.when((F.length("written") > 2) & (F.upper("written") == F.col("written")), "A").otherwise(""))
+    return each.select("transcript_id", "turn_id", "a", (F.col("a") + F.length("surface")).alias("b"), "surface", "kind", left.alias("lefts"), F.when(right == "", ".").otherwise(right).alias("rights"), "place", shape.alias("shape"))
+
+
+def _patterns() -> Column:
+    """The numbers of the patterns of a candidate, as `patterns_of` and `hashed` give them."""
+    words = F.replace("surface", F.lit("."), F.lit(""))
     name = lambda tag, x: F.xxhash64(F.concat(F.lit(tag + " "), x))
     beside = [name("l", F.substring_index("lefts", " ", -1)), name("m", F.substring_index("lefts", " ", -2)), name("r", F.substring_index("rights", " ", 2)), name("q", F.substring_index("rights", " ", 3))]
-    own = [name("w", F.element_at(words, 1)), name("v", F.element_at(words, -1)), name("x", F.col("surface")), name("s", F.col("shape"))]
-    patterns = F.when(F.col("place") == "w", F.array().cast("array<bigint>")).when(F.col("kind") == "name", F.array(*beside, *own)).otherwise(F.array(*beside))
-    return each.select("transcript_id", "turn_id", "a", "b", "surface", "kind", "lefts", "rights", (F.col("place") == "w").alias("whole"), patterns.alias("patterns")).distinct()
+    own = [name("w", F.substring_index(words, " ", 1)), name("v", F.substring_index(words, " ", -1)), name("x", F.col("surface")), name("s", F.col("shape"))]
+    return F.when(F.col("place") == "w", F.array().cast("array<bigint>")).when(F.col("kind") == "name", F.array(*beside, *own)).otherwise(F.array(*beside))
 
 
 def _class(column: str):
@@ -385,10 +400,11 @@ def learn_contexts(turns: DataFrame, spans: DataFrame, rounds: int = 3, least_su
     """Patterns worth using, fitted on all marked spans and all turns."""
     seeds = spans.select("transcript_id", "turn_id", "span_start", "span_end", _class("pii_type").alias("mark")).where("span_start is not null and span_end > span_start and mark is not null")
     marks = seeds.groupBy("transcript_id", "turn_id").agg(F.collect_set(F.struct("span_start", "span_end", "mark")).alias("marks"))
-    every = _candidates(turns).join(marks, ["transcript_id", "turn_id"], "left")
+    every = _candidates(turns).join(marks, ["transcript_id", "turn_id"], "left").dropDuplicates(["transcript_id", "turn_id", "a", "place"])
     # A whole run at the beginning of a sentence is marked if it is from its first word on. Rows that say the same count together.
-    every = every.withColumn("mark", F.when(F.size("marks") > 0, F.expr("get(filter(marks, m -> m.span_start < if(whole, a + 1, b) and a < m.span_end and (not whole or m.span_end >= b)), 0).mark")))
-    every = cut_lineage(every.groupBy("kind", "surface", "lefts", "rights", "patterns", "mark").agg(F.count("*").alias("n")))
+    every = every.withColumn("mark", F.when(F.size("marks") > 0, F.expr("get(filter(marks, m -> m.span_start < if(place = 'w', a + 1, b) and a < m.span_end and (place <> 'w' or m.span_end >= b)), 0).mark")))
+    every = every.groupBy("kind", "surface", "lefts", "rights", "place", "shape", "mark").agg(F.count("*").alias("n"))
+    every = cut_lineage(every.withColumn("patterns", _patterns()).drop("place", "shape"))
     # An instance counts once for a pattern, however often it stands there: the share of its rows that are marked.
     part = lambda condition: (F.sum(F.when(F.expr(condition), F.col("n")).otherwise(0)) / F.sum("n")).alias
     edges = every.select("kind", F.xxhash64("surface").alias("instance"), "mark", F.explode("patterns").alias("p"), "n")
