@@ -13,6 +13,7 @@ from datetime import datetime, timezone
 from sparkveil import __version__, options, providers
 from sparkveil.plans.pipeline import deidentify
 from sparkveil.sources import sinks, transcripts
+from sparkveil.storage import cut_lineage, temporary_tables
 
 
 def _session():
@@ -67,20 +68,42 @@ def process(path: str, output: str, transcript_id: str | None = None, model: boo
     except (ValueError, OSError, RuntimeError) as error:
         print(f"FAILED: {error}", file=sys.stderr)
         return 1
-    loaded = transcripts.load(transcripts.discover(spark, path, single), transcript_id)
-    failed = loaded.errors.orderBy("path").collect()
-    for row in failed:
-        print(f"FAILED {row.path}: {row.message}", file=sys.stderr)
-    if not loaded.turns.isEmpty():
-        mentions = providers.from_model(loaded.turns, chosen) if chosen else None
-        residuals = (lambda turns: providers.residuals_from_model(turns, chosen)) if chosen else None
-        result = deidentify(loaded.turns, mentions, residuals, chosen.low_confidence_threshold if chosen else 0.5, run)
-        written = sinks.write_files(result, os.path.abspath(output)).groupBy("status").count().collect()
-        counts = {r.status: r["count"] for r in written}
-    else:
-        counts = {}
-    done, review = sum(counts.values()), counts.get("needs_review", 0)
-    print(f"processed {done + len(failed)}, needs review {review}, failed {len(failed)}")
+    with temporary_tables(spark):
+        return _process(spark, transcripts.load(transcripts.discover(spark, path, single), transcript_id), os.path.abspath(output), chosen, run)
+
+
+def _process(spark, loaded: transcripts.Loaded, output: str, chosen: options.Options | None, run: dict) -> int:
+    """What fails, in reading or in the model, is reported by file and left out of the results; the rest is written."""
+    turns, failures = loaded.turns, loaded.errors.select("path", "message")
+    paths = loaded.files.select("transcript_id", "path")
+    mentions = residuals = None
+    if chosen and not turns.isEmpty():
+        turns = cut_lineage(turns)
+        answers = providers.from_model(turns, chosen)
+        failures = failures.unionByName(answers.errors.join(paths, "transcript_id").select("path", "message"))
+        turns, mentions = turns.join(answers.errors, "transcript_id", "left_anti"), answers.rows
+        late: list[providers.Answers] = []
+
+        def residuals(redacted):
+            late.append(providers.residuals_from_model(redacted, chosen))
+            return late[0].rows
+
+    done = review = 0
+    if not turns.isEmpty():
+        result = deidentify(turns, mentions, residuals, chosen.low_confidence_threshold if chosen else 0.5, run)
+        if chosen and late:
+            failures = failures.unionByName(late[0].errors.join(paths, "transcript_id").select("path", "message"))
+            result = result.without(late[0].errors)
+        written = cut_lineage(sinks.write_files(result, output))
+        told = written.join(result.reports.select("transcript_id", "n_spans", "n_review_items"), "transcript_id").join(paths, "transcript_id")
+        for r in told.orderBy("path").toLocalIterator():
+            print(f"{r.transcript_id}: status={r.status}, {r.n_spans} replacements, {r.n_review_items} review items")
+            done, review = done + 1, review + (r.status == "needs_review")
+    failed = 0
+    for r in failures.orderBy("path").toLocalIterator():
+        print(f"FAILED {r.path}: {r.message}", file=sys.stderr)
+        failed += 1
+    print(f"processed {done + failed}, needs review {review}, failed {failed}")
     return 1 if failed or not done else 2 if review else 0
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from sparkveil.functions.text import contains_ignoring_case, is_generic, is_token_artifact, masked_tokens
 from sparkveil.operators.detect import KEYS, structured_spans
+from sparkveil.operators.numbering import numbered
 
 RESIDUAL, CORRECTED, LOW = "residual PII (gate)", "gate: auto-corrected", "low-confidence detection"
 
@@ -40,12 +41,20 @@ def low_confidence(spans: DataFrame, threshold: float = 0.5) -> DataFrame:
     return weak.withColumn("k", first).where("k = 1").select(*KEYS, "span_start", "text", "pii_type", "confidence")
 
 
-def review_items(weak: DataFrame, corrected: DataFrame) -> DataFrame:
-    """Rows transcript_id, item_ord, turn_id, text, reason, pii_type, confidence: weak detections, then corrected residuals."""
+def review_items(weak: DataFrame, residual: DataFrame, reason: str = CORRECTED, weak_first: bool = True) -> DataFrame:
+    """Rows transcript_id, item_ord, turn_id, text, reason, pii_type, confidence: weak detections, then residuals
+    with the given reason, or the other way round."""
     a = weak.select("transcript_id", "turn_id", F.lit(0).alias("part"), F.col("span_start").alias("place"), "text", F.lit(LOW).alias("reason"), "pii_type", "confidence")
-    b = corrected.select("transcript_id", "turn_id", F.lit(1).alias("part"), F.col("hit_ord").alias("place"), "text", F.lit(CORRECTED).alias("reason"), F.lit(None).cast("string").alias("pii_type"), F.lit(1.0).alias("confidence"))
-    order = F.row_number().over(Window.partitionBy("transcript_id").orderBy("part", "turn_id", "place", "text")) - 1
-    return a.unionByName(b).select("transcript_id", order.alias("item_ord"), "turn_id", "text", "reason", "pii_type", "confidence")
+    b = residual.select("transcript_id", "turn_id", F.lit(1 if weak_first else -1).alias("part"), F.col("hit_ord").alias("place"), "text", F.lit(reason).alias("reason"), F.lit(None).cast("string").alias("pii_type"), F.lit(1.0).alias("confidence"))
+    both = numbered(a.unionByName(b), ["transcript_id"], ["place", "text"], "item_ord", major=["part"])
+    return both.select("transcript_id", (F.col("item_ord") - 1).alias("item_ord"), "turn_id", "text", "reason", "pii_type", "confidence")
+
+
+def validate(turns: DataFrame, spans: DataFrame, residuals: DataFrame | None = None, threshold: float = 0.5) -> DataFrame:
+    """Review items of redacted turns that are looked at on their own, without a sweep: what is still there, as RESIDUAL, then weak
+    detections. Columns as of `review_items`."""
+    left = confirmed(residual_hits(turns, residuals), turns)
+    return review_items(low_confidence(spans, threshold), left, RESIDUAL, weak_first=False)
 
 
 def reports(turns: DataFrame, spans: DataFrame, items: DataFrame, metadata: dict | None = None) -> DataFrame:

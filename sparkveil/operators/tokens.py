@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sparkveil.functions.text import prefix_of, registry_key, token_text
+from sparkveil.operators.numbering import numbered
 
 
 def token_registry(spans: DataFrame) -> DataFrame:
@@ -16,10 +17,9 @@ def token_registry(spans: DataFrame) -> DataFrame:
     """
     place = F.struct("turn_id", "span_start")
     first = spans.withColumn("surface_key", registry_key(F.col("text"))).groupBy("transcript_id", "surface_key").agg(F.min_by("pii_type", place).alias("pii_type"), F.min(place).alias("place"))
-    first = first.withColumn("prefix", prefix_of(F.col("pii_type")))
-    n = F.row_number().over(Window.partitionBy("transcript_id", "prefix").orderBy("place"))
-    ord_ = F.row_number().over(Window.partitionBy("transcript_id").orderBy("place")) - 1
-    return first.select("transcript_id", "surface_key", "prefix", n.alias("n"), ord_.alias("ord")).select("transcript_id", "surface_key", "prefix", "n", token_text(F.col("prefix"), F.col("n")).alias("token"), "ord")
+    first = first.select("transcript_id", "surface_key", prefix_of(F.col("pii_type")).alias("prefix"), "place.turn_id", "place.span_start")
+    first = numbered(numbered(first, ["transcript_id", "prefix"], ["span_start", "surface_key"], "n"), ["transcript_id"], ["span_start", "surface_key"], "ord")
+    return first.select("transcript_id", "surface_key", "prefix", "n", token_text(F.col("prefix"), F.col("n")).alias("token"), (F.col("ord") - 1).alias("ord"))
 
 
 def with_residuals(registry: DataFrame, residuals: DataFrame) -> DataFrame:
@@ -31,8 +31,7 @@ def with_residuals(registry: DataFrame, residuals: DataFrame) -> DataFrame:
     new = residuals.withColumn("surface_key", registry_key(F.col("text"))).groupBy("transcript_id", "surface_key").agg(F.min(place).alias("place"))
     new = new.join(registry.select("transcript_id", "surface_key"), ["transcript_id", "surface_key"], "left_anti")
     last = registry.groupBy("transcript_id").agg(F.max(F.when(F.col("prefix") == "PII", F.col("n"))).alias("last_n"), F.max("ord").alias("last_ord"))
-    k = F.row_number().over(Window.partitionBy("transcript_id").orderBy("place"))
-    new = new.withColumn("k", k).join(last, "transcript_id", "left")
+    new = numbered(new.select("transcript_id", "surface_key", "place.turn_id", "place.hit_ord"), ["transcript_id"], ["hit_ord", "surface_key"], "k").join(last, "transcript_id", "left")
     n = F.col("k") + F.coalesce("last_n", F.lit(0))
     added = new.select("transcript_id", "surface_key", F.lit("PII").alias("prefix"), n.alias("n"), token_text(F.lit("PII"), n).alias("token"), (F.col("k") + F.coalesce("last_ord", F.lit(-1))).alias("ord"))
     return registry.unionByName(added)

@@ -40,13 +40,13 @@ def from_env(env: Mapping[str, str] | None = None) -> Options:
     local provider that run in a cloud are refused. ValueError says what is wrong."""
     env = os.environ if env is None else env
     url = first_set(env, BASE_URL).rstrip("/")
-    provider = (env.get("DEID_LLM_PROVIDER") or ("vllm" if "VLLM_BASE_URL" in env else "ollama")).strip().lower()
-    options = Options(url, first_set(env, MODEL), first_set(env, API_KEY), provider, env.get("DEID_ALLOW_REMOTE_LLM", "").strip().lower() in TRUE, float(env.get("DEID_LOW_CONFIDENCE_THRESHOLD", 0.5)), float(env.get("DEID_TIMEOUT_SECONDS", 180)))
+    provider = (env.get("DEID_LLM_PROVIDER") or ("vllm" if env.get("VLLM_BASE_URL") else "ollama")).strip().lower()
+    options = Options(url, first_set(env, MODEL), first_set(env, API_KEY), provider, env.get("DEID_ALLOW_REMOTE_LLM", "").strip().lower() in TRUE, float(env.get("DEID_LOW_CONFIDENCE_THRESHOLD", 0.5)), float(env.get("DEID_REQUEST_TIMEOUT_SECONDS", 180)))
     if urlsplit(url).scheme not in ("http", "https"):
         raise ValueError(f"the model's address must begin with http:// or https://: {url}")
     if not options.loopback and not options.allow_remote:
         raise ValueError("the model's address is on another host; set DEID_ALLOW_REMOTE_LLM=true to allow that")
-    if provider == "ollama" and options.model.endswith("-cloud"):
+    if provider == "ollama" and options.model.lower().endswith("-cloud"):
         raise ValueError("the model runs in a cloud; choose a local one")
     return options
 
@@ -54,8 +54,8 @@ def from_env(env: Mapping[str, str] | None = None) -> Options:
 def template(local: bool = False) -> str:
     """Contents of a settings file to start from."""
     if local:
-        return "OLLAMA_BASE_URL=http://localhost:11434/v1\nOLLAMA_MODEL=qwen3:8b\nOLLAMA_API_KEY=ollama\nDEID_LOW_CONFIDENCE_THRESHOLD=0.5\n"
-    return "DEID_ALLOW_REMOTE_LLM=true\nVLLM_BASE_URL=http://model-server.example/v1\nVLLM_MODEL=large\nVLLM_INFERENCE_HUB_API_KEY=replace-with-issued-key\nDEID_LOW_CONFIDENCE_THRESHOLD=0.5\n"
+        return "DEID_ALLOW_REMOTE_LLM=false\nOLLAMA_BASE_URL=http://localhost:11434/v1\nOLLAMA_MODEL=qwen3:8b\nOLLAMA_API_KEY=ollama\nDEID_REQUEST_TIMEOUT_SECONDS=180\nDEID_LOW_CONFIDENCE_THRESHOLD=0.5\n"
+    return "DEID_ALLOW_REMOTE_LLM=true\nVLLM_BASE_URL=http://model-server.example/v1\nVLLM_MODEL=large\nVLLM_INFERENCE_HUB_API_KEY=replace-with-issued-key\nDEID_REQUEST_TIMEOUT_SECONDS=180\nDEID_LOW_CONFIDENCE_THRESHOLD=0.5\n"
 
 
 def read_settings_file(path: str) -> dict[str, str]:

@@ -81,7 +81,7 @@ def _match_key(x: str) -> str:
 
 
 _PHRASES = """phrases AS (SELECT DISTINCT text FROM (
-  SELECT unnest([array_to_string(list_slice(w, 1, 1), ' '), array_to_string(list_slice(w, 2, 2), ' '), array_to_string(list_slice(w, 1, 2), ' '), array_to_string(list_slice(w, 2, 3), ' '), array_to_string(list_slice(w, 1, 3), ' ')]) AS text FROM (SELECT string_split(text, ' ') AS w FROM turns WHERE text <> '')
+  SELECT array_to_string(list_slice(w, i, i + n - 1), ' ') AS text FROM (SELECT w, i, unnest(range(1, least(3, len(w) - i + 1) + 1)) AS n FROM (SELECT w, unnest(range(1, len(w) + 1)) AS i FROM (SELECT string_split(text, ' ') AS w FROM turns WHERE text <> '')))
   UNION ALL SELECT text FROM spans UNION ALL SELECT text FROM review_items) WHERE text IS NOT NULL)"""
 
 
@@ -154,6 +154,36 @@ _PROPAGATED = f"""{_DETECTED}, {_contextual("detected")},
   both_ AS (SELECT *, -1 AS k, '' AS k2 FROM detected UNION ALL SELECT * FROM repeats)"""
 
 
+# The pipeline as a whole: propagated spans, their registry and tokens, the redacted turns, what is left in them, the sweep.
+_ALL_SPANS = f"""{_PROPAGATED}, every_span AS (SELECT * FROM {_fold("both_", "k, k2")})"""
+_ALL_REGISTRY = _REGISTRY.replace("FROM merged", "FROM every_span")
+_ALL_REDACTED = f"""marked AS (SELECT m.*, r.token, coalesce(lag(span_end) OVER (PARTITION BY m.transcript_id, m.turn_id ORDER BY span_start), 0) AS prev FROM every_span m JOIN reg r ON r.transcript_id = m.transcript_id AND r.surface_key = {_registry_key("m.text")}),
+  put AS (SELECT m.transcript_id, m.turn_id, string_agg(substr(t.text, prev + 1, span_start - prev) || token, '' ORDER BY span_start) AS head, max(span_end) AS done FROM marked m JOIN ({_TURN}) t USING (transcript_id, turn_id) GROUP BY ALL),
+  redacted AS (SELECT t.transcript_id, t.turn_id, CASE WHEN head IS NULL THEN t.text ELSE head || substr(t.text, done + 1) END AS anonymised_text FROM ({_TURN}) t LEFT JOIN put USING (transcript_id, turn_id))"""
+_ALL_CONFIRMED = (
+    _CONFIRMED.replace(f"FROM ({_TURN})", "FROM redacted").replace(f"JOIN ({_TURN})", "JOIN redacted").replace("body AS (", "left_body AS (").replace("found AS (", "left_found AS (").replace("FROM found", "FROM left_found").replace("FROM body WHERE", "FROM left_body WHERE")
+)
+_ADDED = f"""fresh AS (SELECT transcript_id, surface_key, min(CAST(turn_id AS BIGINT) * 10000000000 + hit_ord) AS place FROM (SELECT *, {_registry_key("text")} AS surface_key FROM confirmed) GROUP BY ALL),
+  added AS (SELECT f.transcript_id, f.surface_key, row_number() OVER (PARTITION BY f.transcript_id ORDER BY place) AS k FROM fresh f ANTI JOIN reg r ON r.transcript_id = f.transcript_id AND r.surface_key = f.surface_key),
+  last AS (SELECT transcript_id, max(CASE WHEN prefix = 'PII' THEN n END) AS last_n, max(ord) AS last_ord FROM reg GROUP BY 1),
+  full_reg AS (SELECT * FROM reg UNION ALL SELECT transcript_id, surface_key, 'PII', CAST(k + coalesce(last_n, 0) AS INTEGER), '[PII_' || (k + coalesce(last_n, 0)) || ']', CAST(k + coalesce(last_ord, -1) AS INTEGER) FROM added LEFT JOIN last USING (transcript_id))"""
+_ALL_LOW = _LOW.replace("FROM merged", "FROM every_span").replace("confidence < 0.8", "confidence < 0.5")
+
+
+def _all(*more: str) -> str:
+    return "WITH " + ", ".join([_ALL_SPANS, _ALL_REGISTRY, _ALL_REDACTED, _ALL_CONFIRMED, *more])
+
+
+def _swept(turns: str, registry: str) -> str:
+    """swept: turns with all surfaces of the registry replaced, longest first, in the transcripts of confirmed."""
+    edge = (_q(rf"(?i)(^|[^{_X}\[])"), _q(rf"($|[^{_X}\]])"))
+    once = lambda x: f"regexp_replace({x}, {edge[0]} || regexp_escape(b.s) || {edge[1]}, '\\1' || b.t || '\\2', 'g')"
+    return f"""surfaces AS (SELECT DISTINCT r.* FROM {registry} r SEMI JOIN confirmed USING (transcript_id) WHERE surface_key <> ''),
+      near_turns AS (SELECT t.transcript_id, t.turn_id, list_prepend({{'s': '', 't': '', 'x': any_value(t.anonymised_text)}}, list({{'s': surface_key, 't': token, 'x': ''}} ORDER BY -length(surface_key), ord, surface_key, token)) AS l
+        FROM {turns} t JOIN surfaces s USING (transcript_id) WHERE contains(lower(t.anonymised_text), s.surface_key) OR contains(s.surface_key, '[') GROUP BY ALL),
+      swept AS (SELECT transcript_id, turn_id, list_reduce(l, lambda a, b: {{'s': '', 't': '', 'x': {once(once("a.x"))}}}).x AS y FROM near_turns)"""
+
+
 def oracle_sql() -> dict[str, str]:
     flat = f"SELECT {_FLAT} FROM "
     out = {f"spans_{p[0]}": f"WITH {_BODY} {flat}{_pattern_spans(p[0], 'body', 0)}" for p in _PATTERNS}
@@ -182,16 +212,27 @@ def oracle_sql() -> dict[str, str]:
       added AS (SELECT f.transcript_id, f.surface_key, row_number() OVER (PARTITION BY f.transcript_id ORDER BY place) AS k FROM fresh f ANTI JOIN reg r ON r.transcript_id = f.transcript_id AND r.surface_key = f.surface_key),
       last AS (SELECT transcript_id, max(CASE WHEN prefix = 'PII' THEN n END) AS last_n, max(ord) AS last_ord FROM reg GROUP BY 1)
       SELECT * FROM reg UNION ALL SELECT transcript_id, surface_key, 'PII', CAST(k + coalesce(last_n, 0) AS INTEGER), '[PII_' || (k + coalesce(last_n, 0)) || ']', CAST(k + coalesce(last_ord, -1) AS INTEGER) FROM added LEFT JOIN last USING (transcript_id)"""
-    edge = (_q(rf"(?i)(^|[^{_X}\[])"), _q(rf"($|[^{_X}\]])"))
-    once = lambda x: f"regexp_replace({x}, {edge[0]} || regexp_escape(b.s) || {edge[1]}, '\\1' || b.t || '\\2', 'g')"
-    out["swept_turns"] = f"""WITH {_CONFIRMED}, surfaces AS (SELECT DISTINCT r.* FROM registry r SEMI JOIN confirmed USING (transcript_id) WHERE surface_key <> ''),
-      near AS (SELECT t.transcript_id, t.turn_id, t.anonymised_text AS x, list_prepend({{'s': '', 't': '', 'x': any_value(t.anonymised_text)}}, list({{'s': surface_key, 't': token, 'x': ''}} ORDER BY -length(surface_key), ord, surface_key, token)) AS l
-        FROM ({_TURN}) t JOIN surfaces s USING (transcript_id) WHERE contains(lower(t.anonymised_text), s.surface_key) OR contains(s.surface_key, '[') GROUP BY ALL),
-      swept AS (SELECT transcript_id, turn_id, list_reduce(l, lambda a, b: {{'s': '', 't': '', 'x': {once(once("a.x"))}}}).x AS y FROM near)
-      SELECT transcript_id, turn_id, coalesce(y, anonymised_text) AS anonymised_text FROM ({_TURN}) t LEFT JOIN swept USING (transcript_id, turn_id)"""
+    out["swept_turns"] = f"WITH {_CONFIRMED}, turns_ AS ({_TURN}), {_swept('turns_', 'registry')} SELECT transcript_id, turn_id, coalesce(y, anonymised_text) AS anonymised_text FROM turns_ LEFT JOIN swept USING (transcript_id, turn_id)"
     out["low_confidence_spans"] = f"WITH {_MERGED}, {_LOW} SELECT * FROM low"
     out["review_queue"] = f"WITH {_MERGED}, {_LOW}, {_CONFIRMED}, {_QUEUE} SELECT * FROM queue"
     out["transcript_reports"] = f"WITH {_MERGED}, {_LOW}, {_CONFIRMED}, {_QUEUE}, {_REPORTS} SELECT * FROM reps"
     out["batch_summary"] = f"WITH {_MERGED}, {_LOW}, {_CONFIRMED}, {_QUEUE}, {_REPORTS} SELECT count(*) AS processed, count(*) FILTER (status = 'needs_review') AS needs_review, CAST(0 AS BIGINT) AS failed, CAST(sum(n_spans) AS BIGINT) AS replacements, CAST(sum(n_review_items) AS BIGINT) AS review_items FROM reps"
     out["spans_by_type"] = structured + f"SELECT pii_type, count(*) AS n_spans, count(DISTINCT transcript_id) AS n_transcripts, CAST(sum(span_end - span_start) AS BIGINT) AS n_chars FROM {_fold('found', 'k')} GROUP BY 1"
+    out["deidentify_end_to_end"] = f"{_all(_ADDED, _swept('redacted', 'full_reg'))} SELECT transcript_id, turn_id, coalesce(y, anonymised_text) AS anonymised_text FROM redacted LEFT JOIN swept USING (transcript_id, turn_id)"
+    out["end_to_end_registry"] = f"{_all(_ADDED)} SELECT * FROM full_reg"
+    out["end_to_end_review_items"] = f"{_all(_ALL_LOW, _QUEUE)} SELECT * FROM queue"
+    out["end_to_end_reports"] = f"{_all(_ALL_LOW, _QUEUE, _REPORTS.replace('FROM merged', 'FROM every_span'))} SELECT * FROM reps"
+    out["anonymised_documents"] = "SELECT transcript_id, CAST(row_number() OVER (PARTITION BY transcript_id ORDER BY turn_id) - 1 AS INTEGER) AS place, turn_id, coalesce(speaker, 'unknown') AS speaker, coalesce(anonymised_text, '') AS text FROM (SELECT DISTINCT transcript_id, turn_id, speaker, anonymised_text FROM turns)"
+    out["report_documents"] = f"""WITH {_MERGED}, {_REGISTRY}, {_LOW}, {_CONFIRMED}, {_QUEUE}, {_REPORTS}, tokened AS (SELECT m.*, r.token FROM merged m JOIN reg r ON r.transcript_id = m.transcript_id AND r.surface_key = {_registry_key("m.text")})
+      SELECT reps.transcript_id, status, n_spans, CAST(coalesce(n_tokens, 0) AS INTEGER) AS n_tokens, n_review_items, coalesce(tokens_in_order, '') AS tokens_in_order, coalesce(surfaces, '') AS surfaces FROM reps
+      LEFT JOIN (SELECT transcript_id, string_agg(token, ',' ORDER BY turn_id, span_start, span_end) AS tokens_in_order FROM tokened GROUP BY 1) USING (transcript_id)
+      LEFT JOIN (SELECT transcript_id, count(*) AS n_tokens, string_agg(surface_key, '|' ORDER BY surface_key) AS surfaces FROM reg GROUP BY 1) USING (transcript_id)"""
+    out["queue_documents"] = f"WITH {_MERGED}, {_LOW}, {_CONFIRMED}, {_QUEUE} SELECT transcript_id, item_ord AS place, turn_id, text, reason, pii_type, confidence FROM queue"
+    out["json_source_turns"] = "SELECT transcript_id, CAST(row_number() OVER (PARTITION BY transcript_id ORDER BY turn_id) - 1 AS INTEGER) AS turn_id, coalesce(speaker, 'unknown') AS speaker, coalesce(text, '') AS text FROM (SELECT DISTINCT transcript_id, turn_id, speaker, text FROM turns WHERE transcript_id IS NOT NULL AND turn_id IS NOT NULL)"
+    out["text_files_turns"] = out["text_source_turns"]
+    out["source_errors"] = f"""WITH files AS (SELECT DISTINCT '/in/j-' || transcript_id || '-' || item_ord AS name, coalesce(text, '') AS text FROM review_items)
+      SELECT name || '.json' AS path, CASE WHEN NOT json_valid(text) THEN 'not JSON' ELSE 'JSON is not an object' END AS message FROM files
+      UNION ALL SELECT name || '.txt', 'no turns were found' FROM files WHERE {_trim("text")} = ''"""
+    out["validated_turns"] = f"""WITH {_MERGED}, {_LOW}, {_CONFIRMED} SELECT transcript_id, CAST(row_number() OVER (PARTITION BY transcript_id ORDER BY part, turn_id, place, text) - 1 AS INTEGER) AS item_ord, turn_id, text, reason, pii_type, confidence FROM (
+      SELECT transcript_id, turn_id, 1 AS part, span_start AS place, text, 'low-confidence detection' AS reason, pii_type, confidence FROM low UNION ALL SELECT transcript_id, turn_id, 0, hit_ord, text, 'residual PII (gate)', NULL, 1.0 FROM confirmed)"""
     return out

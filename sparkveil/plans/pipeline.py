@@ -17,7 +17,8 @@ from sparkveil.storage import cut_lineage
 
 @dataclass(frozen=True)
 class Result:
-    """Lazy tables of one run."""
+    """Tables of one run. The stages before them have been computed and kept when `deidentify` returns; what the tables add to
+    these is computed when they are read."""
 
     turns: DataFrame
     spans: DataFrame
@@ -25,6 +26,11 @@ class Result:
     review_items: DataFrame
     reports: DataFrame
 
+    def without(self, transcripts: DataFrame) -> Result:
+        """The tables without the transcripts of those rows."""
+        ids = transcripts.select("transcript_id").distinct()
+        return Result(*(x.join(ids, "transcript_id", "left_anti") for x in (self.turns, self.spans, self.registry, self.review_items, self.reports)))
+
 
 def deidentify(turns: DataFrame, mentions: DataFrame | None = None, residuals: DataFrame | None = None, threshold: float = 0.5, metadata: dict | None = None, detected: DataFrame | None = None) -> Result:
     """turns: transcript_id, turn_id, speaker, text (other columns are left out). mentions: what a detector named in each turn.
@@ -34,7 +40,7 @@ def deidentify(turns: DataFrame, mentions: DataFrame | None = None, residuals: D
     Rows with a null transcript_id or turn_id are left out, repeated turns count once, a null text has no spans and stays null.
     """
     columns = [c for c in ("transcript_id", "turn_id", "speaker", "text") if c in turns.columns]
-    turns = distinct_turns(turns.select(*columns).where("transcript_id is not null and turn_id is not null"))
+    turns = cut_lineage(distinct_turns(turns.select(*columns).where("transcript_id is not null and turn_id is not null")))
     # Stages end where their result is used more than once, as texts must not be searched again for each use.
     found = cut_lineage(detect(turns, mentions) if detected is None else detected).where(F.size("spans") > 0)
     spans = cut_lineage(exploded(propagate(turns, found)))

@@ -55,12 +55,19 @@ def write_files(result: Result, folder: str) -> DataFrame:
     report = report.select("transcript_id", "status", F.to_json(F.struct(*fields), {"ignoreNullFields": "false"}).alias("report_json"))
     both = plain.join(report, "transcript_id").withColumn("name", safe_name(F.col("transcript_id")))
 
+    master = result.turns.sparkSession.sparkContext.master
+    if "://" not in folder and not folder.startswith("file:") and not master.startswith("local"):
+        raise ValueError("on a cluster the folder must be an address of a file system that all executors share")
+
     def put(path: str, text: str) -> None:
-        os.makedirs(os.path.dirname(path), exist_ok=True)
-        part = f"{path}.{os.getpid()}.part"
-        with open(part, "w", encoding="utf-8") as f:
-            f.write(text)
-        os.replace(part, path)  # a task that is run again leaves no half file
+        from pyarrow import fs
+
+        system, name = fs.FileSystem.from_uri(path) if ":" in path.split("/")[0] else (fs.LocalFileSystem(), path)
+        system.create_dir(os.path.dirname(name), recursive=True)
+        part = f"{name}.{os.getpid()}.part"
+        with system.open_output_stream(part) as f:
+            f.write(text.encode())
+        system.move(part, name)  # a task that is run again leaves no half file
 
     def run(batches):
         for batch in batches:

@@ -55,7 +55,10 @@ def load(files: DataFrame, transcript_id: str | None = None) -> Loaded:
     text = base.where(~is_json & F.col("valid"))
     lines = F.filter(F.transform(F.split(F.regexp_replace("body", f"^{BOM}", ""), LINE_END, -1), trimmed), lambda x: x != "")
     text = text.select("path", F.coalesce(given, file_stem(F.col("path"))).alias("transcript_id"), F.transform(lines, lambda x: F.struct(speaker_of(x).alias("speaker"), text_of(x).alias("text"))).alias("turns"), F.lit(None).cast("string").alias("message"))
-    parsed = base.where(is_json & F.col("valid")).withColumn("v", F.when(~F.col("body").startswith(BOM), F.try_parse_json("body")))
+    # In brackets, as the parser takes a value with anything behind it; a second value makes it no JSON either.
+    alone = F.try_parse_json(F.concat(F.lit("["), "body", F.lit("]")))
+    parsed = base.where(is_json & F.col("valid")).withColumn("v", F.when(~F.col("body").startswith(BOM), alone))
+    parsed = parsed.withColumn("v", F.when(F.try_variant_get("v", "$[1]", "variant").isNull(), F.try_variant_get("v", "$[0]", "variant")))
     listed = F.expr("try_variant_get(v, '$.turns', 'array<variant>')")
     field = lambda x, name: F.try_variant_get(x, f"$.{name}", "string")
     kind = lambda x: F.schema_of_variant(x)

@@ -13,6 +13,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from sparkveil.plans.pipeline import deidentify
 from sparkveil.sources import sinks, transcripts
+from sparkveil.storage import temporary_tables
 
 _FILE = T.StructType([T.StructField("path", T.StringType()), T.StructField("modificationTime", T.TimestampType()), T.StructField("length", T.LongType()), T.StructField("content", T.BinaryType())])
 
@@ -25,10 +26,11 @@ def watch(spark: SparkSession, directory: str, output: str, state: str, detector
     stream = spark.readStream.format("binaryFile").schema(_FILE).option("maxFilesPerTrigger", files_per_batch).option("pathGlobFilter", "*.{txt,json,TXT,JSON}").load(directory)
 
     def done(files: DataFrame, number: int) -> None:
-        loaded = transcripts.load(files.select("path", "content"))
-        result = deidentify(loaded.turns, detector(loaded.turns) if detector else None, residual)
-        sinks.write_tables(result, f"{output}/batch={number}")
-        loaded.errors.write.mode("overwrite").json(f"{output}/batch={number}/errors")
+        with temporary_tables(files.sparkSession):
+            loaded = transcripts.load(files.select("path", "content"))
+            result = deidentify(loaded.turns, detector(loaded.turns) if detector else None, residual)
+            sinks.write_tables(result, f"{output}/batch={number}")
+            loaded.errors.write.mode("overwrite").json(f"{output}/batch={number}/errors")
 
     writer = stream.writeStream.foreachBatch(done).option("checkpointLocation", state)
     return (writer.trigger(availableNow=True) if available_now else writer).start()
