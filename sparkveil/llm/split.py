@@ -4,7 +4,9 @@ Giant files are worked on by byte ranges: a worker reads its range with a halo a
 paragraphs, sentences and words) and reports where its section begins, the first boundary of the best kind near the start of
 its range, and how many code points there are up to it. The reports, one row a range, are stitched in file order: sections run
 from one beginning to the next and prefix sums of their lengths give positions in the whole file. Then each section is read by
-its offsets and cut on its own, so no task ever holds more than a section. Texts in a column are sections of their own.
+its offsets and cut on its own, so no task ever holds more than a section. Texts in a column are worked on in the same way, by
+ranges of `range_chars` code points: each range is a row with its halos, so it knows where its own section and the next begin,
+and prefix sums over the numbers of pieces number them in the whole text.
 
 A piece ends at the last paragraph end of the second half of what fits, else the last sentence end there, else the last word
 end, else where the limit is reached (never before a combining mark). The next piece begins at a sentence, else a word
@@ -103,8 +105,29 @@ def _gather(x: np.ndarray, start: np.ndarray, end: np.ndarray) -> pa.Array:
     return from_codepoints(x[np.arange(off[-1]) - np.repeat(off[:-1] - start, size)], off)
 
 
-def split_texts(texts: DataFrame, keys: list[str], column: str = "text", limit: int = LIMIT, overlap: int = OVERLAP) -> DataFrame:
-    """Rows of the keys with piece, n_pieces, piece_start, piece_end (code points), piece_text."""
+RANGE_CHARS = 16_384
+
+
+def _section_start(x: np.ndarray) -> int:
+    """Where a section begins in the first code points of its range: behind the first boundary of the best kind."""
+    kind = boundaries(x)[:-1]
+    at = next((p for least in (PARAGRAPH, SENTENCE, WORD) if len(p := np.flatnonzero(kind >= least))), None)
+    return int(at[0]) if at is not None else 0
+
+
+def _lead(before: np.ndarray, first: np.ndarray) -> int:
+    """How many of the code points before a section its first piece repeats."""
+    kind = boundaries(np.r_[before, first])[: len(before)]
+    at = next((p for least in (SENTENCE, WORD) if len(p := np.flatnonzero(kind >= least))), None)
+    return len(before) - (int(at[0]) if at is not None else 0)
+
+
+def split_texts(texts: DataFrame, keys: list[str], column: str = "text", limit: int = LIMIT, overlap: int = OVERLAP, range_chars: int = RANGE_CHARS, halo: int = 2048) -> DataFrame:
+    """Rows of the keys with piece, n_pieces, piece_start, piece_end (code points), piece_text.
+
+    Texts longer than `range_chars` are cut by ranges of that many code points; `halo` is where a section looks for its beginning.
+    Of repeated rows of a longer text one comes out, as its ranges are told apart by the keys and the text.
+    """
     source = texts.select(*keys, F.col(column).alias("whole_text"))
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields[:-1])
 
@@ -114,7 +137,47 @@ def split_texts(texts: DataFrame, keys: list[str], column: str = "text", limit:
             row, number, a, b, n = _pieces(x, offsets, limit, overlap).T
             yield pa.RecordBatch.from_arrays([*(part.column(k).take(pa.array(row)) for k in keys), *(pa.array(v, pa.int32()) for v in (number, n, a, b)), _gather(x, offsets[row] + a, offsets[row] + b)], names=[*keys, "piece", "n_pieces", "piece_start", "piece_end", "piece_text"])
 
-    return source.mapInArrow(run, fields + ", piece int, n_pieces int, piece_start int, piece_end int, piece_text string")
+    short = source.where(F.length("whole_text") <= range_chars).mapInArrow(run, fields + ", piece int, n_pieces int, piece_start int, piece_end int, piece_text string")
+    if halo + overlap >= range_chars:
+        raise ValueError("a range must be longer than its halos")
+
+    def sections(batches):
+        for part in (p for whole in batches for p in slices(whole, "range_text")):
+            x, offsets = to_codepoints(part.column("range_text"))
+            out, cps = [], []
+            for i, (lo, size) in enumerate(zip(part.column("lo").to_pylist(), part.column("size").to_pylist())):
+                y = x[offsets[i] : offsets[i + 1]]  # from `overlap` before the range to `halo` behind it
+                at = min(lo, overlap)
+                end = at + min(range_chars, size - lo)
+                begin = at + (_section_start(y[at : at + halo]) if lo else 0)
+                if lo + range_chars < size:
+                    end += _section_start(y[end : end + halo])
+                if begin >= end:
+                    continue
+                first = begin - (_lead(y[max(0, begin - overlap) : begin], y[begin : begin + 1]) if begin > at or lo else 0)
+                spans = cut(y[first:end], limit, overlap)
+                for k, (a, b) in enumerate(spans):
+                    out.append((i, k, lo - at + first + a, lo - at + first + b, len(spans)))
+                    cps.append(y[first + a : first + b])
+            row, number, a, b, n = np.array(out, np.int64).reshape(-1, 5).T
+            texts_ = from_codepoints(np.concatenate(cps) if cps else np.zeros(0, np.uint32), np.r_[0, np.cumsum(b - a)].astype(np.int64))
+            yield pa.RecordBatch.from_arrays([*(part.column(k).take(pa.array(row)) for k in [*keys, "whole_hash", "lo"]), *(pa.array(v, pa.int32()) for v in (number, n, a, b)), texts_], names=[*keys, "whole_hash", "lo", "number", "n", "piece_start", "piece_end", "piece_text"])
+
+    long_ = source.where(F.length("whole_text") > range_chars)
+    size = F.length("whole_text")
+    ranges = long_.select(*keys, F.xxhash64("whole_text").alias("whole_hash"), size.alias("size"), F.explode(F.sequence(F.lit(0), size - 1, F.lit(range_chars))).alias("lo"), "whole_text")
+    ranges = ranges.select(*keys, "whole_hash", "size", "lo", F.substring("whole_text", F.greatest(F.col("lo") - overlap, F.lit(0)) + 1, F.lit(range_chars + overlap + halo) - F.when(F.col("lo") < overlap, overlap - F.col("lo")).otherwise(0)).alias("range_text"))
+    found = ranges.mapInArrow(sections, fields + ", whole_hash long, lo int, number int, n int, piece_start int, piece_end int, piece_text string")
+    found = found.dropDuplicates([*keys, "whole_hash", "lo", "number"])
+    # One row a range is stitched: prefix sums give the number of its first piece.
+    counts = found.where("number = 0").select(*keys, "whole_hash", "lo", "n")
+    text = Window.partitionBy(*keys, "whole_hash")
+    counts = counts.select(*[F.col(k).alias(f"_{i}") for i, k in enumerate(keys)], F.col("whole_hash").alias("_hash"), F.col("lo").alias("_lo"), F.coalesce(F.sum("n").over(text.orderBy("lo").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"), F.sum("n").over(text).alias("_all"))
+    same = (F.col("whole_hash") == F.col("_hash")) & (F.col("lo") == F.col("_lo"))
+    for i, k in enumerate(keys):
+        same = same & F.col(k).eqNullSafe(F.col(f"_{i}"))
+    placed = found.join(counts, same).select(*keys, (F.col("number") + F.col("_before")).cast("int").alias("piece"), F.col("_all").cast("int").alias("n_pieces"), "piece_start", "piece_end", "piece_text")
+    return short.unionByName(placed)
 
 
 def _open(path: str):
@@ -144,7 +207,7 @@ def _width(x: np.ndarray) -> np.ndarray:
     return 1 + (x > 0x7F).astype(np.int64) + (x > 0x7FF) + (x > 0xFFFF)
 
 
-def split_files(spark: SparkSession, paths: list[str], limit: int = LIMIT, overlap: int = OVERLAP, range_bytes: int = 32 << 20, halo: int = 1 << 16) -> DataFrame:
+def split_files(spark: SparkSession, paths: list[str] | DataFrame, limit: int = LIMIT, overlap: int = OVERLAP, range_bytes: int = 32 << 20, halo: int = 1 << 16) -> DataFrame:
     """Rows path, piece_start, piece_end (code points of the file), piece_text of files of UTF-8 text.
 
     `range_bytes` is what a task reads; the halo is where a section looks for its beginning. Empty files have no pieces; bytes
