@@ -213,3 +213,42 @@ def test_shared_spans_as_by_brute_force(spark, limit):
 def test_shared_report(spark):
     df = spark.createDataFrame([(1, "q" * 300 + "a"), (2, "b" + "q" * 300), (3, "c"), (4, None)], "doc_id long, text string")
     assert {r.doc_id: (r.n_chars, r.shared_chars) for r in shared.shared_report(df).collect()} == {1: (301, 300), 2: (301, 300), 3: (1, 0), 4: (None, 0)}
+
+
+def test_more_looks():
+    assert lookalike.fold_strings(["한글", "Ꮇary", "ⲞⲢⲤ", "ᴀɴɴ lee", "a\tb", "ﬁ" * 50 + "ﬄ"]) == ["한글", "Mary", "OPC", "ann lee", "a b", "fi" * 50 + "ffl"]
+    many = "a" + "̧̣́̈" * 6
+    assert len({lookalike.fold_strings([unicodedata.normalize(f, many)])[0] for f in ("NFC", "NFD")}) == 1
+
+
+def test_containment_as_of_strings():
+    rng = random.Random(8)
+    word = lambda n: "".join(rng.choice("ab é") for _ in range(n))
+    parts, texts = [word(rng.randint(0, 4)) for _ in range(500)], [word(rng.randint(0, 12)) for _ in range(500)]
+    (a, ao), (b, bo) = to_codepoints(pa.array(parts)), to_codepoints(pa.array(texts))
+    assert lookalike.contained(*lookalike._stripped(a, ao), b, bo).tolist() == [bool(x.strip()) and x.strip() in y for x, y in zip(parts, texts)]
+
+
+@pytest.mark.parametrize("size", [900, 1700])
+def test_long_texts_by_ranges(spark, size):
+    rng = random.Random(size)
+    texts = ["x" * 5000, "word " * 1500, *["".join(rng.choice(BITS) for _ in range(rng.randint(100, 6000))) for _ in range(12)]]
+    df = spark.createDataFrame([(i, x, "t") for i, x in enumerate(texts)] + [(None, texts[1], "t"), (3, texts[3], "t"), (50, None, "t")], "k int, text string, lo string")
+    got = {}
+    for r in split.split_texts(df, ["k"], limit=300, overlap=40, range_chars=size, halo=200).collect():
+        got.setdefault(r.k, []).append(r)
+    assert set(got) == {*range(len(texts)), None}
+    for k, rows in got.items():
+        text = texts[1 if k is None else k]
+        rows = sorted({(r.piece, r.piece_start, r.piece_end, r.piece_text, r.n_pieces) for r in rows})
+        assert [r[0] for r in rows] == list(range(len(rows))) and all(text[a:b] == t and n == len(rows) for _, a, b, t, n in rows)
+        check_pieces(text, [(a, b) for _, a, b, _, _ in rows], 300, 40)
+
+
+def test_leaks_are_removed_by_length_or_coverage(spark):
+    item = [f"i{k}" for k in range(40)]
+    docs = spark.createDataFrame([(1, "a " + " ".join(item[:12]) + " z"), (2, "a " + " ".join(item[:25]) + " z"), (3, None), (4, "nothing")], "doc_id long, text string")
+    items = spark.createDataFrame([(7, " ".join(item))], "item_id long, item_text string")
+    left = {r.doc_id: r.text for r in leak.remove_leaks(docs, items, length_limit=100, cover_limit=0.5).collect()}
+    assert left == {1: "a " + " ".join(item[:12]) + " z", 2: "a  z", 3: None, 4: "nothing"}
+    assert leak.remove_leaks(docs, items, length_limit=12).where("doc_id = 1").first().text == "a  z"
