@@ -55,12 +55,13 @@ EMAIL_WORDS = re.compile(r"(?<![\w.+-])[\w.+-]+ at [\w-]+(?: dot [\w-]+)+")
 ADDRESS = re.compile(rf"(?<![\w$£€.,/])(?:(?:flat|unit|apartment|apt|suite|number|no\.?) )?(?:\d{{1,4}}[a-z]?(?:[-/]\d{{1,4}}[a-z]?)?(?:, \d{{1,4}}[a-z]?(?:-\d{{1,4}})?)?|{NUMBER_WORD}) (?:[^\W\d][\w'’-]+ ){{1,2}}?(?:{SUFFIX})\b\.?(?:, [^\W\d][\w'’-]+(?:-[\w-]+)*)?(?: [a-z]{{1,2}}\d{{1,2}}[a-z]? \d[a-z]{{2}}\b)?")
 NUMBER = re.compile(r"(?<![\w$£€.,/:-])(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,5}\)[ .-]?)?\d(?:[\d ./-]{4,}\d)(?![\w:]|[.,]\d)")
 STREET_FIRST = re.compile(r"(?<![\w$£€.,/])\d{1,4}(?: ?[a-z]|(?: bis| ter))?,? (?:rue|avenue|av|boulevard|bd|place|chemin|impasse|quai|calle|avenida|paseo|plaza|via|viale|corso|piazza|rua|largo|ulica|ul)\b\.?(?: (?:d[ei]|la|las|los|le|les|du|des|del|della|dos|da|l'))*(?: ?[^\W\d][\w'’-]+){1,3}?(?=[^\w'’-]|$)")
-NUMBER_LAST = re.compile(r"(?<![\w'’-])[^\W\d][\w'’-]*(?:straße|strasse|gasse|weg|allee|straat|laan|gatan|vej) \d{1,4}[a-z]?\b")
+STREETS = ("straße ", "strasse ", "gasse ", "weg ", "allee ", "straat ", "laan ", "gatan ", "vej ")
+NUMBER_LAST = re.compile(rf"(?<![\w'’-])[^\W\d][\w'’-]*(?:{'|'.join(w.strip() for w in STREETS)}) \d{{1,4}}[a-z]?\b")
 GROUPED = re.compile(r"^[1-9]\d{0,2}([ .])\d{3}(?:\1\d{3})+$")  # an amount: thousands set apart
 DIGIT = re.compile(r"\d")
 DATE = re.compile(r"^(?:\d{1,2}([/.-])\d{1,2}\1\d{2,4}|\d{4}([/.-])\d{1,2}\2\d{1,2})$")
 CODE = re.compile(r"(?<![\w/.-])(?:[a-z]{1,3}[-/]?\d[\d/-]{4,}\d|[a-z]{2}(?: \d\d){3} [a-z])(?![\w/-])")
-SPOKEN = re.compile(rf"\b(?:(?:{UNITS}|double|triple)[ ,]+){{6,}}(?:{UNITS})\b")
+SPOKEN = re.compile(rf"\b(?=[znotfsed])(?:(?:{UNITS}|double|triple)[ ,]+){{6,}}(?:{UNITS})\b")
 NOT_NAMES = frozenset("a an the my your his her our their its this that these those he she it they we you i me him them us who what which somebody someone nobody anybody everyone another and or but not no yes in on at to of for from with after before early late twice".split())
 
 TITLES = frozenset("dr mr mrs ms st prof rev".split())
@@ -138,7 +139,8 @@ def formats(t: str):
         if n >= 7:
             out.append(("phone" if n in (10, 11, 12) or (d[0] == "0" and n > 9) else "id_number", *m.span()))
     digits = DIGIT.search(t)
-    addresses = [m.span() for x in ((ADDRESS, STREET_FIRST, NUMBER_LAST) if digits else (ADDRESS,)) for m in x.finditer(t)]
+    forms = [ADDRESS, *((STREET_FIRST,) if digits else ()), *((NUMBER_LAST,) if digits and any(w in t for w in STREETS) else ())]
+    addresses = [m.span() for x in forms for m in x.finditer(t)]
     out += [("address", *x) for x in addresses]
     if digits:
         numbers = []
@@ -329,11 +331,13 @@ def _candidates(turns: DataFrame) -> DataFrame:
     each = found.select("transcript_id", "turn_id", "start", "before", "behind", "run", "kind", F.explode(F.when((F.col("kind") == "name") & F.col("opens") & (F.col("space") > 0), both).otherwise(one)).alias("p"))
     each = each.select("transcript_id", "turn_id", "kind", "p.place", "p.written", (F.col("start") + F.col("p.at")).alias("a"), F.concat("before", F.substring("run", F.lit(1), F.col("p.at"))).alias("before"), F.substring("behind", F.col("p.at") + F.length("p.written") + 1, F.length("behind")).alias("behind"), F.lower("p.written").alias("surface"))
     each = each.where(~F.col("surface").isin(*NOT_NAMES) & (F.length("surface") > 1))
-    each = each.withColumn("left", F.lower(F.substring_index(F.rtrim("before"), " ", -3))).withColumn("right", F.lower(F.substring_index("behind", " ", 4)))
-    left = F.when(F.right("left", F.lit(1)).isin(*ENDS), "").otherwise(F.regexp_replace("left", r"^.*[.!?;:] ", ""))
-    right = F.rtrim(F.rtrim(F.regexp_extract("right", r"^[^.!?;]*", 0)), F.lit(","))
+    # A single word at the beginning of a sentence only says something of itself: most are written large for their place.
+    bare = (F.col("place") == "i") & (F.col("kind") == "name")
+    each = each.withColumn("left", F.when(F.col("place") == "m", F.lower(F.substring_index(F.rtrim("before"), " ", -3))).otherwise("")).withColumn("right", F.when(bare, "").otherwise(F.lower(F.substring_index("behind", " ", 4))))
+    left = F.when(F.right("left", F.lit(1)).isin(*ENDS), "").when(F.col("left").rlike("[.!?;:] "), F.regexp_replace("left", r"^.*[.!?;:] ", "")).otherwise(F.col("left"))
+    right = F.when(bare, "").otherwise(F.rtrim(F.rtrim(F.regexp_extract("right", r"^[^.!?;]*", 0)), F.lit(",")))
     shape = F.concat("place", F.least(F.length("surface") - F.length(F.replace("surface", F.lit(" "))) + 1, F.lit(3)).cast("string"), F.when((F.length("written") > 2) & (F.upper("written") == F.col("written")), "A").otherwise(""))
-    return each.select("transcript_id", "turn_id", "a", (F.col("a") + F.length("surface")).alias("b"), "surface", "kind", left.alias("lefts"), F.when(right == "", ".").otherwise(right).alias("rights"), "place", shape.alias("shape"))
+    return each.select("transcript_id", "turn_id", "a", (F.col("a") + F.length("surface")).alias("b"), "surface", "kind", left.alias("lefts"), F.when((right == "") & ~bare, ".").otherwise(right).alias("rights"), "place", shape.alias("shape"))
 
 
 def _patterns() -> Column:
@@ -342,7 +346,7 @@ def _patterns() -> Column:
     name = lambda tag, x: F.xxhash64(F.concat(F.lit(tag + " "), x))
     beside = [name("l", F.substring_index("lefts", " ", -1)), name("m", F.substring_index("lefts", " ", -2)), name("r", F.substring_index("rights", " ", 2)), name("q", F.substring_index("rights", " ", 3))]
     own = [name("w", F.substring_index(words, " ", 1)), name("v", F.substring_index(words, " ", -1)), name("x", F.col("surface")), name("s", F.col("shape"))]
-    return F.when(F.col("place") == "w", F.array().cast("array<bigint>")).when(F.col("kind") == "name", F.array(*beside, *own)).otherwise(F.array(*beside))
+    return F.when(F.col("place") == "w", F.array().cast("array<bigint>")).when(F.col("kind") != "name", F.array(*beside)).when(F.col("place") == "i", F.array(*own)).otherwise(F.array(*beside, *own))
 
 
 def _class(column: str):
@@ -396,7 +400,7 @@ class Learned(list):
         return tuple(sum(x) / len(said) for x in zip(*said)) if said else None
 
 
-def learn_contexts(turns: DataFrame, spans: DataFrame, rounds: int = 3, least_support: int = 3, threshold: float = 0.5, least_share: float = 2e-5) -> Learned:
+def learn_contexts(turns: DataFrame, spans: DataFrame, rounds: int = 2, least_support: int = 3, threshold: float = 0.5, least_share: float = 2e-5) -> Learned:
     """Patterns worth using, fitted on all marked spans and all turns."""
     seeds = spans.select("transcript_id", "turn_id", "span_start", "span_end", _class("pii_type").alias("mark")).where("span_start is not null and span_end > span_start and mark is not null")
     marks = seeds.groupBy("transcript_id", "turn_id").agg(F.collect_set(F.struct("span_start", "span_end", "mark")).alias("marks"))
