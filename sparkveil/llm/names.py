@@ -28,7 +28,7 @@ import re
 from dataclasses import dataclass, field
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparkveil.llm.lookalike import fold_array
@@ -342,13 +342,17 @@ def attach_words(names: DataFrame, hot: int = 256) -> DataFrame:
             return current
 
 
-def _attach(partial: DataFrame, full: DataFrame, on: list[str], extra=None) -> DataFrame:
-    """Partial names with the entity of the full names that agree on the columns and holds most of the probability."""
-    candidates = full.groupBy(*on, "entity").agg(F.sum("n").alias("m"))
-    if extra is not None:
-        candidates = candidates.where(extra)
-    total = candidates.groupBy(*on).agg(F.sum("m").alias("all"), F.max_by("entity", F.struct("m", "entity")).alias("to"), F.max("m").alias("most"))
-    return partial.join(total.where(F.col("most") >= SHARE * F.col("all")), on, "left")
+def _key(*parts) -> Column:
+    return F.concat_ws("|", *[F.lit(x) if k == 0 else x for k, x in enumerate(parts)])
+
+
+def _asked(rows: DataFrame) -> DataFrame:
+    """rows: transcript_id, key, entity (null where it asks), n and what else. The rows that ask, with `to`, the entity that holds
+    most of the probability of their key (null if none does), and `seen`, whether there is any. One exchange."""
+    key = Window.partitionBy("transcript_id", "key")
+    rows = rows.repartition("transcript_id", "key").withColumn("m", F.when(F.col("entity").isNotNull(), F.sum("n").over(Window.partitionBy("transcript_id", "key", "entity"))))
+    rows = rows.withColumns({"top": F.max(F.struct("m", "entity")).over(key), "all": F.sum(F.when(F.col("entity").isNotNull(), F.col("n"))).over(key)}).where("entity is null")
+    return rows.withColumn("to", F.when(F.col("top.m") >= SHARE * F.col("all"), F.col("top.entity"))).withColumn("seen", F.col("all").isNotNull())
 
 
 def link_names(registry: DataFrame, spans: DataFrame | None = None, common_share: float = 0.001) -> DataFrame:
@@ -365,35 +369,34 @@ def link_names(registry: DataFrame, spans: DataFrame | None = None, common_share
         table = F.broadcast(names.sparkSession.createDataFrame(sorted(nicknames.items()), "other string, meant string"))
         names = names.join(table, "other", "left").withColumn("other", F.coalesce("meant", "other")).drop("meant")
         names = names.withColumn("initial", F.when((F.col("other") != "") & F.col("kind").isin("person", "given"), F.substring("other", 1, 1)).otherwise(F.col("initial")))
-    key = lambda *parts: F.concat_ws("|", *parts)
-    keep = ["transcript_id", "surface", "entity"]
-    # Persons.
-    person = names.where("kind = 'person'")
-    full = person.where("other <> ''").withColumn("entity", key(F.lit("person"), "main", "other"))
-    short = person.where("other = '' and initial <> ''")
-    short = _attach(short, full, ["transcript_id", "main", "initial"]).withColumn("entity", F.coalesce("to", key(F.lit("person"), "main", F.concat("initial", F.lit(".")))))
-    some = full.select("transcript_id", "main", "other", "initial", "n", "entity").unionByName(short.where("to is null").select("transcript_id", "main", "other", "initial", "n", "entity"))
-    alone = _attach(person.where("other = '' and initial = ''"), some, ["transcript_id", "main"])
-    known = some.select("transcript_id", "main").distinct().withColumn("seen", F.lit(True))
-    alone = alone.join(known, ["transcript_id", "main"], "left").withColumn("entity", F.coalesce("to", F.when(F.col("seen").isNull(), key(F.lit("person"), "main", F.lit(""))), key(F.lit("surface"), "surface")))
-    given = _attach(names.where("kind = 'given'").drop("main"), full.select("transcript_id", "other", "n", "entity"), ["transcript_id", "other"])
-    by_initial = short.where("to is null").select("transcript_id", "initial", "n", "entity")
-    given = _attach(given.withColumnRenamed("to", "to_full").drop("all", "most"), by_initial, ["transcript_id", "initial"])
-    named = full.select("transcript_id", "other").distinct().withColumn("seen", F.lit(True))
-    given = given.join(named, ["transcript_id", "other"], "left").withColumn("entity", F.coalesce("to_full", F.when(F.col("seen").isNull(), F.coalesce("to", key(F.lit("given"), "other"))), key(F.lit("surface"), "surface")))
-    # Organisations.
-    org = names.where("kind = 'org'").withColumn("entity", key(F.lit("org"), "main", "other"))
-    letters = F.array_join(F.transform(F.split(F.concat_ws(" ", F.translate("main", "-", " "), "other"), " "), lambda w: F.substring(w, 1, 1)), "")
-    typed = org.withColumn("main_letters", letters).withColumn("side", F.col("prefix"))
-    place = names.where("kind = 'place'").withColumn("side", F.col("prefix"))
-    exact = _attach(place, typed.select("transcript_id", "main", "n", "entity", "side"), ["transcript_id", "main", "side"]).withColumnRenamed("to", "to_side").drop("all", "most")
-    place = _attach(exact, typed.select("transcript_id", "main", "n", "entity"), ["transcript_id", "main"]).withColumn("entity", F.coalesce("to", "to_side", key(F.lit("place"), "main")))
-    initials = names.where("kind = 'initials'").withColumnRenamed("main", "main_letters")
-    initials = _attach(initials, typed.select("transcript_id", "main_letters", "n", "entity"), ["transcript_id", "main_letters"]).withColumn("entity", F.coalesce("to", key(F.lit("initials"), "main_letters")))
-    out = full.select(keep)
-    for part in (short, alone, given, org, place, initials):
-        out = out.unionByName(part.select(keep))
-    return out
+    kind, letters = F.col("kind"), F.array_join(F.transform(F.split(F.concat_ws(" ", F.translate("main", "-", " "), "other"), " "), lambda w: F.substring(w, 1, 1)), "")
+    full = (kind == "person") & (F.col("other") != "")
+    short = (kind == "person") & (F.col("other") == "") & (F.col("initial") != "")
+    # First what full names answer: initials with a surname, given names, places and initials of organisations.
+    own = F.when(full, _key("person", "main", "other")).when(kind == "org", _key("org", "main", "other"))
+    first = (
+        F.when(full, F.array(_key("si", "main", "initial"), _key("g", "other")))
+        .when(kind == "org", F.array(_key("os", "main", "prefix"), _key("om", "main"), _key("l", letters)))
+        .when(short, F.array(_key("si", "main", "initial")))
+        .when(kind == "given", F.array(_key("g", "other")))
+        .when(kind == "place", F.array(_key("os", "main", "prefix"), _key("om", "main")))
+        .when(kind == "initials", F.array(_key("l", "main")))
+    )
+    names = cut_lineage(names.withColumn("entity", own))
+    asked = _asked(names.withColumn("key", F.explode(first)))
+    asked = asked.groupBy("transcript_id", "surface", "kind", "main", "other", "initial", "n").agg(F.max_by("to", F.when(F.col("to").isNotNull(), F.col("key").startswith("om|"))).alias("to"), F.max("seen").alias("seen"))
+    alone = F.when(kind == "place", _key("place", "main")).when(kind == "initials", _key("initials", "main")).when((kind == "given") & F.col("seen"), _key("surface", "surface"))
+    asked = cut_lineage(asked.withColumn("entity", F.coalesce("to", alone)))
+    # Then what these leave: surnames alone, and given names of which only an initial stands elsewhere.
+    left = asked.where("entity is null")
+    initials = left.where("kind = 'person'").withColumn("entity", _key("person", "main", F.concat("initial", F.lit("."))))
+    keep = ["transcript_id", "surface", "kind", "main", "other", "initial", "n", "entity"]
+    second = names.where(full | ((kind == "person") & (F.col("other") == "") & (F.col("initial") == ""))).select(*keep, _key("m", "main").alias("key"))
+    second = second.unionByName(initials.select(*keep, F.explode(F.array(_key("m", "main"), _key("i", "initial"))).alias("key"))).unionByName(left.where("kind = 'given'").select(*keep, _key("i", "initial").alias("key")))
+    answer = F.when(kind == "given", F.coalesce("to", _key("given", "other"))).otherwise(F.coalesce("to", F.when(~F.col("seen"), _key("person", "main", F.lit(""))), _key("surface", "surface")))
+    late = _asked(second).withColumn("entity", answer)
+    out = [x.select("transcript_id", "surface", "entity") for x in (names.where("entity is not null"), asked.where("entity is not null"), initials, late)]
+    return out[0].unionByName(out[1]).unionByName(out[2]).unionByName(out[3])
 
 
 def registry_pairs(registry: DataFrame, spans: DataFrame | None = None, common_share: float = 0.001) -> DataFrame:
