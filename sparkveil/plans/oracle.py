@@ -8,6 +8,7 @@ _W = r"[\p{L}\p{N}_]"
 _NOT_W = r"[^\p{L}\p{N}_]"
 _D = r"\p{Nd}"
 _S = r"\s\x0b\x1c-\x1f\x{85}\p{Z}"
+# The patterns, in the dialect of DuckDB and in the order that decides ties.
 _MONTH = "(?:Jan(?:uary)?|Feb(?:ruary)?|Mar(?:ch)?|Apr(?:il)?|May|Jun(?:e)?|Jul(?:y)?|Aug(?:ust)?|Sep(?:tember)?|Oct(?:ober)?|Nov(?:ember)?|Dec(?:ember)?)"
 _END = rf"(?:{_NOT_W}|$)"
 _X = r"\p{L}\p{N}_"

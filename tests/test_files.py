@@ -1,10 +1,13 @@
 import json
 import os
+import threading
+from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
 
 import pytest
 
-from sparkveil import cli, options, providers
+from sparkveil import cli, options, providers, storage
 from sparkveil.functions.text import is_generic
+from sparkveil.operators import gate
 from sparkveil.plans.pipeline import deidentify
 from sparkveil.sources import sinks, transcripts
 from sparkveil.streaming.files import watch
@@ -72,6 +75,111 @@ def test_options():
     assert (far.provider, far.base_url, far.loopback) == ("vllm", "http://far.example/v1", False)
 
 
+def test_options_are_read_by_their_names():
+    far = options.from_env({"DEID_REQUEST_TIMEOUT_SECONDS": "7", "VLLM_BASE_URL": ""} | {"DEID_LLM_BASE_URL": "http://localhost:1/v1"})
+    assert far.timeout_seconds == 7 and far.provider == "ollama"
+    with pytest.raises(ValueError):
+        options.from_env({"OLLAMA_MODEL": "X-Cloud"})
+    assert "DEID_ALLOW_REMOTE_LLM=false" in options.template(True) and "DEID_REQUEST_TIMEOUT_SECONDS" in options.template()
+
+
+def test_json_with_something_behind_it_is_none(spark, tmp_path):
+    put(tmp_path, a__json='{"turns": [{"text": "x"}]} trailing', b__json='{"turns": [{"text": "x"}]}, {"turns": []}', c__json='{"turns": [{"text": "x"}]}\n')
+    loaded = transcripts.load(transcripts.discover(spark, str(tmp_path)))
+    assert [r.transcript_id for r in loaded.turns.collect()] == ["c"] and {r.message for r in loaded.errors.collect()} == {"not JSON"}
+
+
+def test_tables_of_a_run_are_dropped(spark, tmp_path):
+    with storage.temporary_tables(spark) as folder:
+        kept = storage.cut_lineage(spark.range(3))
+        assert kept.count() == 3 and os.listdir(folder)
+    assert not os.path.exists(folder)
+    before = set(os.listdir(storage.shared_folder(spark)))
+    data = tmp_path / "in"
+    data.mkdir()
+    put(data, a__txt="P: mail a.b@x.org")
+    watch(spark, str(data), str(tmp_path / "out"), str(tmp_path / "state")).awaitTermination()
+    assert cli.process(str(data), str(tmp_path / "o"), model=False, spark=spark) == 0
+    assert set(os.listdir(storage.shared_folder(spark))) == before
+
+
+def test_a_cluster_needs_a_shared_folder(monkeypatch):
+    class Session:
+        class conf:
+            get = staticmethod(lambda name, default=None: default)
+
+        class sparkContext:
+            master = "spark://host:7077"
+
+    with pytest.raises(RuntimeError):
+        storage.shared_folder(Session)
+
+
+class Model(BaseHTTPRequestHandler):
+    """Names Ann wherever it is asked; fails for texts with "crash", and answers no JSON for those with "odd"."""
+
+    protocol_version = "HTTP/1.1"
+    connections: set = set()
+
+    def do_POST(self):
+        type(self).connections.add(self.client_address)
+        asked = json.loads(self.rfile.read(int(self.headers["Content-Length"])))["messages"]
+        text = asked[1]["content"]
+        answer = {"mentions": [{"text": "Ann", "pii_type": "person_name", "confidence": 0.9}] if "Ann" in text else []} if "mentions" in asked[0]["content"] else {"identifiers": []}
+        content = "{" if "odd" in text or ("late" in text and "mentions" not in asked[0]["content"]) else json.dumps(answer)
+        body = json.dumps({"choices": [{"message": {"content": content}}]}).encode()
+        self.send_response(500 if "crash" in text else 200)
+        self.send_header("Content-Length", str(len(body)))
+        self.end_headers()
+        self.wfile.write(body)
+
+    def do_GET(self):
+        body = json.dumps({"models": [{"name": "m:latest", "digest": "d"}], "data": [{"id": "m"}]}).encode()
+        self.send_response(200)
+        self.send_header("Content-Length", str(len(body)))
+        self.end_headers()
+        self.wfile.write(body)
+
+    def log_message(self, *_):
+        pass
+
+
+def test_a_failing_transcript_does_not_stop_the_others(spark, tmp_path, capsys, monkeypatch):
+    server = ThreadingHTTPServer(("127.0.0.1", 0), Model)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    monkeypatch.setenv("OLLAMA_BASE_URL", f"http://127.0.0.1:{server.server_port}/v1")
+    monkeypatch.setenv("OLLAMA_MODEL", "m")
+    monkeypatch.chdir(tmp_path)
+    data = tmp_path / "in"
+    data.mkdir()
+    put(data, a__txt="P: I am Ann.\nQ: Who?\nP: Ann.", b__txt="P: crash\nP: more", c__txt="P: odd", d__txt="P: late", e__json="[")
+    assert cli.process(str(data), str(tmp_path / "o"), spark=spark) == 1
+    out, err = capsys.readouterr()
+    assert sorted(os.listdir(tmp_path / "o" / "anonymised")) == ["a.json"]
+    assert "a: status=clean, 2 replacements, 0 review items" in out and "processed 5, needs review 0, failed 4" in out
+    assert [os.path.basename(line.split(": ")[0]) for line in err.splitlines() if line.startswith("FAILED")] == ["b.txt", "c.txt", "d.txt", "e.json"]
+    assert cli.main(["doctor"]) == 0
+    server.shutdown()
+
+
+def test_errors_of_functions_are_raised(spark):
+    turns = spark.createDataFrame([("t", 0, "P", "x")], "transcript_id string, turn_id int, speaker string, text string")
+
+    def broken(_, text):
+        raise ValueError("no")
+
+    with pytest.raises(RuntimeError):
+        providers.from_function(turns, broken)
+
+
+def test_validate_on_its_own(spark):
+    turns = spark.createDataFrame([("t", 0, "Ann met [NAME_1] on 1/2/2020", "Ann")], "transcript_id string, turn_id int, anonymised_text string, text string")
+    spans = spark.createDataFrame([("t", 0, 0, 3, "Bo Lee", "person_name", 0.2, "llm"), ("t", 0, 0, 3, "you", "person_name", 0.2, "llm")], "transcript_id string, turn_id int, span_start int, span_end int, text string, pii_type string, confidence double, source string")
+    residuals = spark.createDataFrame([("t", 0, 0, "Ann"), ("t", 0, 1, "NAME_1"), ("t", 0, 2, "elsewhere")], "transcript_id string, turn_id int, ord int, text string")
+    items = [(r.text, r.reason) for r in gate.validate(turns, spans, residuals).orderBy("item_ord").collect()]
+    assert items == [("Ann", gate.RESIDUAL), ("1/2/2020", gate.RESIDUAL), ("2020", gate.RESIDUAL), ("Bo Lee", gate.LOW)]
+
+
 def test_answers_of_a_model():
     good = providers.parse_answer('{"mentions":[{"text":"Alex","pii_type":"person_name","confidence":0.9}]}\n<|end|>')
     assert providers.mentions_of(good) == [("Alex", "person_name", 0.9)]

@@ -4,6 +4,8 @@ import pytest
 from model import disjoint, structured
 
 from sparkveil.operators.detect import detect, exploded, locate_mentions, merge_spans, regex_spans
+from sparkveil.operators import lookup
+from sparkveil.operators.numbering import numbered
 from sparkveil.plans.pipeline import deidentify, unresolved
 
 TURN = "transcript_id string, turn_id int, speaker string, text string"
@@ -119,12 +121,25 @@ def test_locate_is_literal(spark):
     assert sorted((r.ord, r.span_start, r.span_end) for r in locate_mentions(said, turns).collect()) == [(0, 0, 4), (0, 5, 9), (1, 10, 13)]
 
 
+def test_numbers_by_blocks_as_by_one_window(spark):
+    rng = random.Random(3)
+    rows = [(rng.choice("ab"), rng.randint(0, 1), rng.randint(0, 60), rng.randint(0, 5), i) for i in range(300)]
+    df = spark.createDataFrame(rows, "g string, p int, turn_id int, x int, i int")
+    got = {r.i: r.n for r in numbered(df, ["g"], ["x", "i"], "n", major=["p"], block_turns=7).collect()}
+    expected = {}
+    for g in "ab":
+        for n, r in enumerate(sorted((r for r in rows if r[0] == g), key=lambda r: r[1:])):
+            expected[r[4]] = n + 1
+    assert got == expected
+
+
 def test_large_transcripts_take_the_other_way_to_the_same_result(spark, monkeypatch):
     rng = random.Random(1)
     names = [f"Name{chr(97 + i % 26)}{i}" for i in range(90)]
     texts = [" ".join(rng.choice([*names, "and", "met", "NAMEa0"]) for _ in range(6)) for _ in range(60)]
     mentions = [(0, n, "person_name", 0.9) for n in names]
     texts[0] = " ".join(names)
+    monkeypatch.setattr(lookup, "PART", 7)  # words of more turns than this are salted
     out, *_ = run(spark, texts, mentions, [(0, "[NAME_1]")])
     token = {n.lower(): f"[NAME_{i + 1}]" for i, n in enumerate(names)}
     assert out == [" ".join(token.get(w.lower(), w) for w in x.split(" ")) for x in texts]
