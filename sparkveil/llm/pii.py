@@ -311,11 +311,11 @@ def _candidates(turns: DataFrame) -> DataFrame:
     """Rows transcript_id, turn_id, a, b, surface, kind (name, number), lefts, rights, place, shape: every candidate."""
     text = turns.select("transcript_id", "turn_id", "text").where("text <> ''")
     # One search: each match is set between two control characters, and the text taken apart at the first of them.
-    parts = F.split(F.regexp_replace(F.translate("text", "\x01\x02", "  "), F.lit(f"{CAPITALS}|{DIGITS}"), F.lit("\x01$0\x02")), "\x01")
+    parts = F.split(F.regexp_replace(F.replace(F.replace("text", F.lit("\x01"), F.lit(" ")), F.lit("\x02"), F.lit(" ")), F.lit(f"{CAPITALS}|{DIGITS}"), F.lit("\x01$0\x02")), "\x01")
     found = text.select("transcript_id", "turn_id", parts.alias("parts")).where("size(parts) > 1")
     found = found.select("*", F.explode(F.expr("sequence(2, size(parts))")).alias("j"))
     # Three parts at either side hold three words or all there are.
-    plain = lambda x: F.translate(F.array_join(x, ""), "\x02", "")
+    plain = lambda x: F.replace(F.array_join(x, ""), F.lit("\x02"), F.lit(""))
     found = found.select(
         "transcript_id", "turn_id", F.expr("aggregate(slice(parts, 1, j - 1), 2 - j, (n, x) -> n + length(x))").alias("start"), F.substring_index(F.element_at("parts", F.col("j")), "\x02", 1).alias("run"),
         plain(F.slice("parts", F.greatest(F.lit(1), F.col("j") - 3), F.least(F.lit(3), F.col("j") - 1))).alias("before"), plain(F.slice("parts", F.col("j"), F.lit(3))).alias("behind"),
