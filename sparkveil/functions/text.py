@@ -60,11 +60,11 @@ def prefix_of(pii_type: Column) -> Column:
     return F.coalesce(F.element_at(F.create_map(*pairs), pii_type), F.lit("PII"))
 
 
-def _list(words: str, sep: str | None = None) -> str:
-    return ", ".join(f'"{w}"' for w in words.split(sep))
+def _list(words: tuple[str, ...]) -> str:
+    return ", ".join(f'"{w}"' for w in words)
 
 
-def _skipped(prefixes: str, words: str, name: str) -> str:
+def _skipped(prefixes: tuple[str, ...], words: str, name: str) -> str:
     # without the leading words of the list: cut at the first other word
     other = f"array_position(transform({words}, w -> w in ({_list(prefixes)})), false)"
     return f"transform(array({other}), {name} -> if({name} > 0, slice({words}, cast({name} as int), size({words})), slice({words}, 1, 0)))[0]"
@@ -75,7 +75,7 @@ def is_generic(column: str) -> Column:
     phrase with a pronoun or question word. The empty text isn't generic, for null the result is null.
 
     Written as one SQL expression: made of Column calls it takes longer to build than to run on small tables."""
-    bare = _list("|".join(t.BARE_GENERIC.values()), "|")
+    bare = _list(sum(t.BARE_GENERIC.values(), ()))
     rest = f"""transform(array({_skipped(t.PLACE_PREFIXES, "b.words", "p")}), v -> transform(array({_skipped(t.ROLE_PREFIXES, "v", "q")}), r ->
         array_join(r, ' ') in ({bare}, {_list(t.TITLES)}) or (size(r) > 0 and forall(r, w -> w in ({_list(t.COMMON_WORDS)}))))[0])[0]"""
     return F.expr(f"""transform(array({matching_key_sql(column)}), k -> transform(array(struct(filter(split(k, ' '), w -> w <> '') as words)), b ->

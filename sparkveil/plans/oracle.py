@@ -86,25 +86,25 @@ _PHRASES = """phrases AS (SELECT DISTINCT text FROM (
   UNION ALL SELECT text FROM spans UNION ALL SELECT text FROM review_items) WHERE text IS NOT NULL)"""
 
 
-def _list(words: str, sep: str | None = None) -> str:
-    return "[" + ", ".join(_q(w) for w in words.split(sep)) + "]"
+def _list(words: tuple[str, ...]) -> str:
+    return "[" + ", ".join(_q(w) for w in words) + "]"
 
 
-_BARE = "|".join(t.BARE_GENERIC.values())
+_BARE = sum(t.BARE_GENERIC.values(), ())
 
 
 def _generic(x: str) -> str:
     key = _match_key(x)
     words = f"list_filter(string_split({key}, ' '), lambda w: w <> '')"
 
-    def skipped(prefixes: str, w: str) -> str:
+    def skipped(prefixes: tuple[str, ...], w: str) -> str:
         return f"(CASE WHEN len(list_filter({w}, lambda v: NOT list_contains({_list(prefixes)}, v))) = 0 THEN [] ELSE list_slice({w}, list_position(list_transform({w}, lambda v: list_contains({_list(prefixes)}, v)), false), len({w})) END)"
 
     rest = skipped(t.ROLE_PREFIXES, skipped(t.PLACE_PREFIXES, words))
     reduced = f"coalesce(array_to_string({rest}, ' '), '')"
-    return f"""(list_contains({_list(t.TITLES + " " + t.NON_NAME_WORDS)}, {key}) OR list_contains({_list(_BARE, "|")}, {key})
+    return f"""(list_contains({_list(t.TITLES + t.NON_NAME_WORDS)}, {key}) OR list_contains({_list(_BARE)}, {key})
       OR len(list_filter({words}, lambda w: list_contains({_list(t.PHRASE_WORDS)}, w))) > 0
-      OR list_contains({_list(_BARE, "|")}, {reduced}) OR list_contains({_list(t.TITLES)}, {reduced})
+      OR list_contains({_list(_BARE)}, {reduced}) OR list_contains({_list(t.TITLES)}, {reduced})
       OR (len({rest}) > 0 AND len(list_filter({rest}, lambda w: NOT list_contains({_list(t.COMMON_WORDS)}, w))) = 0))"""
 
 
