@@ -51,6 +51,11 @@ def test_sinks_leave_no_raw_text(spark, tmp_path):
     assert list(report) == ["transcript_id", "run_metadata", "spans", "registry", "review_items", "status"]
     assert report["registry"] == {"a.b@x.org": "[EMAIL_1]"} and report["spans"][0]["start"] == 5 and report["run_metadata"]["model_digest"] is None
     assert (tmp_path / "sensitive" / "c.review-queue.jsonl").read_text() == "" and "é" in (tmp_path / "anonymised" / "c.json").read_text()
+    many = deidentify(spark.createDataFrame([("p", i, "P", f"Mail a{i}.b@x.org") for i in range(7)], "transcript_id string, turn_id int, speaker string, text string"))
+    assert [tuple(r) for r in sinks.write_files(many, str(tmp_path / "parts"), size=3).collect()] == [("p", "clean")]
+    parts = [json.loads((tmp_path / "parts" / "sensitive" / f"p{x}.deid-report.json").read_text()) for x in ("", ".part-1", ".part-2")]
+    assert [[s["token"] for s in x["spans"]] for x in parts] == [["[EMAIL_1]", "[EMAIL_2]", "[EMAIL_3]"], ["[EMAIL_4]", "[EMAIL_5]", "[EMAIL_6]"], ["[EMAIL_7]"]] and len(parts[1]["registry"]) == 3
+    assert len(json.loads((tmp_path / "parts" / "anonymised" / "p.part-2.json").read_text())["turns"]) == 1
     sinks.write_tables(result, str(tmp_path / "tables"))
     assert spark.read.parquet(str(tmp_path / "tables/sensitive/spans")).count() == 1
 
