@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparkveil.llm.codepoints import from_codepoints, slices, to_codepoints
-from sparkveil.llm.lookalike import fold_codepoints, tables
+from sparkveil.llm.lookalike import fold_codepoints
 from sparkveil.storage import cut_lineage
 from sparkveil.llm.turns import CLOCK, FILLERS, SOUND, STAMP
 
@@ -58,6 +58,7 @@ STREET_FIRST = re.compile(r"(?<![\w$£€.,/])\d{1,4}(?: ?[a-z]|(?: bis| ter))?,
 STREETS = ("straße ", "strasse ", "gasse ", "weg ", "allee ", "straat ", "laan ", "gatan ", "vej ")
 NUMBER_LAST = re.compile(rf"(?<![\w'’-])[^\W\d][\w'’-]*(?:{'|'.join(w.strip() for w in STREETS)}) \d{{1,4}}[a-z]?\b")
 GROUPED = re.compile(r"^[1-9]\d{0,2}([ .])\d{3}(?:\1\d{3})+$")  # an amount: thousands set apart
+COUNTING = re.compile(rf"\b(?=[zotfsen])(?:{UNITS}|{TEENS}|{TENS})\b")  # stands in every number in words
 DIGIT = re.compile(r"\d")
 DATE = re.compile(r"^(?:\d{1,2}([/.-])\d{1,2}\1\d{2,4}|\d{4}([/.-])\d{1,2}\2\d{1,2})$")
 CODE = re.compile(r"(?<![\w/.-])(?:[a-z]{1,3}[-/]?\d[\d/-]{4,}\d|[a-z]{2}(?: \d\d){3} [a-z])(?![\w/-])")
@@ -134,12 +135,12 @@ def formats(t: str):
         out += [("email", *m.span()) for m in EMAIL.finditer(t)]
     if " dot " in t:
         out += [("email", *m.span()) for m in EMAIL_WORDS.finditer(t)]
-    for m in SPOKEN.finditer(t):
+    digits, counts = DIGIT.search(t), COUNTING.search(t)
+    for m in SPOKEN.finditer(t) if counts else ():
         n = len(d := spoken_digits(m[0]))
         if n >= 7:
             out.append(("phone" if n in (10, 11, 12) or (d[0] == "0" and n > 9) else "id_number", *m.span()))
-    digits = DIGIT.search(t)
-    forms = [ADDRESS, *((STREET_FIRST,) if digits else ()), *((NUMBER_LAST,) if digits and any(w in t for w in STREETS) else ())]
+    forms = [*((ADDRESS,) if digits or counts else ()), *((STREET_FIRST,) if digits else ()), *((NUMBER_LAST,) if digits and any(w in t for w in STREETS) else ())]
     addresses = [m.span() for x in forms for m in x.finditer(t)]
     out += [("address", *x) for x in addresses]
     if digits:
@@ -261,7 +262,7 @@ def capitals() -> re.Pattern:
     """CAPITALS in the dialect of Python."""
     upper = [c for c in range(0x41, 0x1F200) if chr(c).isupper()]
     runs = "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in _runs(upper))
-    word = rf"[{runs}](?:[^\W\d_]|[\u0300-\u036f'’-])*+(?![\d_@])"
+    word = rf"[{runs}](?:[^\W\d_]++|[\u0300-\u036f'’-]++)*+(?![\d_@])"
     part = rf"(?:[{runs}][^\W\d_]{{0,3}}\.(?= )|{word})"
     return re.compile(rf"(?<![\w@/.'’\[-]){part}(?:{_SMALL}{{0,2}} {part})*")
 
@@ -287,9 +288,11 @@ def pieces_of(start: int, surface: str, at_start: bool):
     return ((start, start + len(surface), surface, "i" if at_start else "m"),)
 
 
-def begins_sentence(before: str) -> bool:
-    before = before.rstrip(" ")
-    return not before or before[-1] in ".!?:;\"“—-\n]"
+def begins_sentence(text: str, at: int) -> bool:
+    at -= 1
+    while at >= 0 and text[at] == " ":
+        at -= 1
+    return at < 0 or text[at] in ".!?:;\"“—-\n]"
 
 
 def shape_of(surface: str, place: str) -> str:
@@ -487,7 +490,7 @@ def search(p: Prepared, contexts: Contexts, learned: Learned):
     if p.written and learned.scores:
         for m in capitals().finditer(p.written):
             start, surface = m.start(), m[0]
-            opens = begins_sentence(p.written[:start])
+            opens = begins_sentence(p.written, start)
             if opens and " " in surface and learned.opens_name(t[start : start + surface.index(" ")].strip(".")):
                 opens = False
             for a, b, piece, place in pieces_of(start, surface, opens):
@@ -506,8 +509,12 @@ def _prepared(column: pa.Array):
     """Texts of a column folded to lower case and as written; for each the position in the stored text of each folded character."""
     cps, offsets = to_codepoints(column)
     folded, off, src = fold_codepoints(cps, offsets)
-    low = from_codepoints(tables().lower[folded], off).to_pylist()
-    return low, from_codepoints(folded, off).to_pylist(), off, src, offsets
+    written = from_codepoints(folded, off).to_pylist()
+    low = [w.lower() for w in written]
+    for i, (a, b) in enumerate(zip(low, written)):
+        if len(a) != len(b):  # letters whose small form is longer stay as they are, so that positions agree
+            low[i] = "".join(x if len(x := c.lower()) == 1 else c for c in b)
+    return low, written, off, src, offsets
 
 
 def find_types(turns: DataFrame, patterns: Learned) -> DataFrame:
