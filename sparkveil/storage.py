@@ -17,8 +17,7 @@ def shared_folder(spark: SparkSession) -> str:
     only possible if all executors are on it too, so on a cluster it is a RuntimeError."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
-        master = spark.sparkContext.master
-        if not master.startswith("local") or master.startswith("local-cluster"):
+        if not spark.sparkContext.master.startswith("local"):
             raise RuntimeError("name a folder that all executors share in spark.checkpoint.dir")
         named = tempfile.mkdtemp(prefix="sparkveil-")
         spark.conf.set("spark.checkpoint.dir", named)
