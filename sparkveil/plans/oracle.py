@@ -232,8 +232,8 @@ def oracle_sql() -> dict[str, str]:
     out["json_source_turns"] = "SELECT transcript_id, CAST(row_number() OVER (PARTITION BY transcript_id ORDER BY turn_id) - 1 AS INTEGER) AS turn_id, coalesce(speaker, 'unknown') AS speaker, coalesce(text, '') AS text FROM (SELECT DISTINCT transcript_id, turn_id, speaker, text FROM turns WHERE transcript_id IS NOT NULL AND turn_id IS NOT NULL)"
     out["text_files_turns"] = out["text_source_turns"]
     out["source_errors"] = f"""WITH files AS (SELECT DISTINCT '/in/j-' || transcript_id || '-' || item_ord AS name, coalesce(text, '') AS text FROM review_items)
-      SELECT name || '.json' AS path, CASE WHEN NOT json_valid(text) THEN 'not JSON' ELSE 'JSON is not an object' END AS message FROM files
-      UNION ALL SELECT name || '.txt', 'no turns were found' FROM files WHERE {_trim("text")} = ''"""
+      SELECT name || '.json' AS path, CASE WHEN starts_with(text, chr(65279)) THEN 'JSON begins with a byte order mark' WHEN NOT json_valid(text) THEN 'not JSON' ELSE 'JSON is not an object' END AS message FROM files
+      UNION ALL SELECT name || '.txt', 'no turns were found' FROM files WHERE {_trim("regexp_replace(text, '^' || chr(65279), '')")} = ''"""
     out["validated_turns"] = f"""WITH {_MERGED}, {_LOW}, {_CONFIRMED} SELECT transcript_id, CAST(row_number() OVER (PARTITION BY transcript_id ORDER BY part, turn_id, place, text) - 1 AS INTEGER) AS item_ord, turn_id, text, reason, pii_type, confidence FROM (
       SELECT transcript_id, turn_id, 1 AS part, span_start AS place, text, 'low-confidence detection' AS reason, pii_type, confidence FROM low UNION ALL SELECT transcript_id, turn_id, 0, hit_ord, text, 'residual PII (gate)', NULL, 1.0 FROM confirmed)"""
     return out
