@@ -10,10 +10,11 @@ template is scored against all that stands between its words in the corpus, what
 
 Texts are then searched in one consistent form (look-alikes of problem 2) without time stamps, fillers and sound annotations:
 formats tell e-mail addresses, numbers and street addresses, also spelt out or disguised, unless what stands beside a number says
-that it is none; templates and believed candidates tell the rest. Positions lead back to the text as stored.
+that it is none; templates and believed candidates tell the rest. Positions lead back to the text as stored. Which searches
+could find something in a text is asked of whole columns at once, so most texts are spared most searches.
 
 What goes to the workers is bounded: a pattern must hold at least `least_share` of all candidates' rows (and three), so there
-are at most 7 / least_share patterns and 1 / least_share templates.
+are at most 7 / least_share patterns and 1 / least_share templates, whose sides of three words are counted in the corpus.
 
 Contexts are fitted on all spans and turns, and every text is searched whole. Defined results: null and empty
 texts have no identifiers and come out as they are, placeholders such as [NAME_1] are none, repeated rows count once.
@@ -27,6 +28,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -39,8 +41,7 @@ TYPES = ("person_name", "email", "phone", "id_number", "address")
 PERSONS = ("person_name", "nickname", "family_member", "clinician_name")
 # The placeholder of each type.
 PLACEHOLDER = {"person_name": "NAME", "email": "EMAIL", "phone": "PHONE", "id_number": "ID", "address": "ADDRESS"}
-NOISE = re.compile(rf"(?:(?:{SOUND.pattern})|{STAMP}(?:\s*-->)?|\d\d:\d\d:\d\d(?:\.\d+|\s*-->)|^{CLOCK}(?:\s*-->)?|(?<![\w'-]){FILLERS}(?:\.\.\.|…|,|\s-(?!\w)|-(?!\w))|(?<![\w'-])like,(?=\s|$))\s?")
-NOISY = re.compile(r"[\[(<*{:]|\b(?:u+m|u+h|e+r+m?|hm+|mm+|ah|you know|i mean|sort of|kind of|like,)")
+NOISE = re.compile(rf"(?=[\[(<*{{\duehmayiskl])(?:(?:{SOUND.pattern})|{STAMP}(?:\s*-->)?|\d\d:\d\d:\d\d(?:\.\d+|\s*-->)|^{CLOCK}(?:\s*-->)?|(?<![\w'-]){FILLERS}(?:\.\.\.|…|,|\s-(?!\w)|-(?!\w))|(?<![\w'-])like,(?=\s|$))\s?")
 TOKEN = re.compile(r"\[[a-z]+_\d+\]")
 STOP = re.compile(r"[.!?;]")
 SENTENCE_END = re.compile(r"[.!?;](?=\s|$)|$")
@@ -54,15 +55,29 @@ EMAIL = re.compile(r"[a-z0-9](?:[\w.+-]*\w)?(?:@|\(at\)|\[at\]| @ | ?\(at\) | ?\
 EMAIL_WORDS = re.compile(r"(?<![\w.+-])[\w.+-]+ at [\w-]+(?: dot [\w-]+)+")
 ADDRESS = re.compile(rf"(?<![\w$£€.,/])(?:(?:flat|unit|apartment|apt|suite|number|no\.?) )?(?:\d{{1,4}}[a-z]?(?:[-/]\d{{1,4}}[a-z]?)?(?:, \d{{1,4}}[a-z]?(?:-\d{{1,4}})?)?|{NUMBER_WORD}) (?:[^\W\d][\w'’-]+ ){{1,2}}?(?:{SUFFIX})\b\.?(?:, [^\W\d][\w'’-]+(?:-[\w-]+)*)?(?: [a-z]{{1,2}}\d{{1,2}}[a-z]? \d[a-z]{{2}}\b)?")
 NUMBER = re.compile(r"(?<![\w$£€.,/:-])(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,5}\)[ .-]?)?\d(?:[\d ./-]{4,}\d)(?![\w:]|[.,]\d)")
-STREET_FIRST = re.compile(r"(?<![\w$£€.,/])\d{1,4}(?: ?[a-z]|(?: bis| ter))?,? (?:rue|avenue|av|boulevard|bd|place|chemin|impasse|quai|calle|avenida|paseo|plaza|via|viale|corso|piazza|rua|largo|ulica|ul)\b\.?(?: (?:d[ei]|la|las|los|le|les|du|des|del|della|dos|da|l'))*(?: ?[^\W\d][\w'’-]+){1,3}?(?=[^\w'’-]|$)")
-STREETS = ("straße ", "strasse ", "gasse ", "weg ", "allee ", "straat ", "laan ", "gatan ", "vej ")
-NUMBER_LAST = re.compile(rf"(?<![\w'’-])[^\W\d][\w'’-]*(?:{'|'.join(w.strip() for w in STREETS)}) \d{{1,4}}[a-z]?\b")
+STREETS_BEFORE = "rue|avenue|av|boulevard|bd|place|chemin|impasse|quai|calle|avenida|paseo|plaza|via|viale|corso|piazza|rua|largo|ulica|ul"
+STREET_FIRST = re.compile(rf"(?<![\w$£€.,/])\d{{1,4}}(?: ?[a-z]|(?: bis| ter))?,? (?:{STREETS_BEFORE})\b\.?(?: (?:d[ei]|la|las|los|le|les|du|des|del|della|dos|da|l'))*(?: ?[^\W\d][\w'’-]+){{1,3}}?(?=[^\w'’-]|$)")
+STREETS = ("straße", "strasse", "gasse", "weg", "allee", "straat", "laan", "gatan", "vej")
+NUMBER_LAST = re.compile(rf"(?<![\w'’-])[^\W\d][\w'’-]*(?:{'|'.join(STREETS)}) \d{{1,4}}[a-z]?\b")
 GROUPED = re.compile(r"^[1-9]\d{0,2}([ .])\d{3}(?:\1\d{3})+$")  # an amount: thousands set apart
-COUNTING = re.compile(rf"\b(?=[zotfsen])(?:{UNITS}|{TEENS}|{TENS})\b")  # stands in every number in words
-DIGIT = re.compile(r"\d")
 DATE = re.compile(r"^(?:\d{1,2}([/.-])\d{1,2}\1\d{2,4}|\d{4}([/.-])\d{1,2}\2\d{1,2})$")
 CODE = re.compile(r"(?<![\w/.-])(?:[a-z]{1,3}[-/]?\d[\d/-]{4,}\d|[a-z]{2}(?: \d\d){3} [a-z])(?![\w/-])")
 SPOKEN = re.compile(rf"\b(?=[znotfsed])(?:(?:{UNITS}|double|triple)[ ,]+){{6,}}(?:{UNITS})\b")
+# What stands in every text in which a search finds something, in the dialect of Arrow, which asks a whole column at once. The
+# searches look behind and ahead and know all digits; these let pass more, never less.
+_DIGIT = r"[0-9\x{80}-\x{10ffff}]"
+_BEFORE, _AFTER = "(?:^|[^a-z0-9_])", "(?:[^a-z]|$)"
+NOISY = rf"[(<*{{]|\[[^_\]]*\]|{_DIGIT}:{_DIGIT}|{_BEFORE}(?:{FILLERS}(?:\.\.\.|…|,|(?s:.)?-)|like,)".replace(" ", r"\s")
+MAY_HOLD = (
+    r"@|at[)\]]| dot ",
+    rf"(?:(?:{UNITS}|double|triple)[ ,]+){{6}}(?:{UNITS})",
+    rf"(?:{_DIGIT}[a-z]?|{NUMBER_WORD}) (?:[^ ]+ ){{1,2}}(?:{SUFFIX}){_AFTER}",
+    rf"{_DIGIT}(?: ?[a-z]| bis| ter)?,? (?:{STREETS_BEFORE}){_AFTER}",
+    rf"(?:{'|'.join(STREETS)}) {_DIGIT}",
+    rf"{_DIGIT}[0-9\x{{80}}-\x{{10ffff}} ./-]{{4,}}{_DIGIT}",
+)
+MAIL, DIGIT_WORDS, STREET, STREET_BEFORE, STREET_BEHIND, NUMBERS = (1 << k for k in range(len(MAY_HOLD)))
+EVERY = (1 << len(MAY_HOLD)) - 1
 NOT_NAMES = frozenset("a an the my your his her our their its this that these those he she it they we you i me him them us who what which somebody someone nobody anybody everyone another and or but not no yes in on at to of for from with after before early late twice".split())
 
 TITLES = frozenset("dr mr mrs ms st prof rev".split())
@@ -75,12 +90,12 @@ class Prepared:
 
     __slots__ = ("starts", "text", "to", "written")
 
-    def __init__(self, text: str, written: str = "") -> None:
+    def __init__(self, text: str, written: str = "", noisy: bool = True) -> None:
         if "\n" in text or "\t" in text:
             text = text.replace("\n", " ").replace("\t", " ")
         self.starts, self.to = [0], [0]
         self.text, self.written = text, written
-        if not NOISY.search(text):
+        if not noisy:
             return
         parts, as_written, at, done = [], [], 0, 0
         for m in NOISE.finditer(text):
@@ -128,22 +143,21 @@ def is_book(d: str) -> bool:
     return len(d) == 13 and d[:3] in ("978", "979") and not sum(int(c) * (3 if i % 2 else 1) for i, c in enumerate(d)) % 10
 
 
-def formats(t: str):
-    """(type, start, end) of identifiers that their form alone tells."""
+def formats(t: str, may: int = EVERY):
+    """(type, start, end) of identifiers that their form alone tells; may: which of MAY_HOLD stand in the text."""
     out = []
-    if "@" in t or "at)" in t or "at]" in t:
-        out += [("email", *m.span()) for m in EMAIL.finditer(t)]
-    if " dot " in t:
-        out += [("email", *m.span()) for m in EMAIL_WORDS.finditer(t)]
-    digits, counts = DIGIT.search(t), COUNTING.search(t)
-    for m in SPOKEN.finditer(t) if counts else ():
+    if may & MAIL:
+        if "@" in t or "at)" in t or "at]" in t:
+            out += [("email", *m.span()) for m in EMAIL.finditer(t)]
+        if " dot " in t:
+            out += [("email", *m.span()) for m in EMAIL_WORDS.finditer(t)]
+    for m in SPOKEN.finditer(t) if may & DIGIT_WORDS else ():
         n = len(d := spoken_digits(m[0]))
         if n >= 7:
             out.append(("phone" if n in (10, 11, 12) or (d[0] == "0" and n > 9) else "id_number", *m.span()))
-    forms = [*((ADDRESS,) if digits or counts else ()), *((STREET_FIRST,) if digits else ()), *((NUMBER_LAST,) if digits and any(w in t for w in STREETS) else ())]
-    addresses = [m.span() for x in forms for m in x.finditer(t)]
+    addresses = [m.span() for sign, x in ((STREET, ADDRESS), (STREET_BEFORE, STREET_FIRST), (STREET_BEHIND, NUMBER_LAST)) if may & sign for m in x.finditer(t)]
     out += [("address", *x) for x in addresses]
-    if digits:
+    if may & NUMBERS:
         numbers = []
         for m in NUMBER.finditer(t):
             x = m[0]
@@ -257,14 +271,14 @@ CAPITALS = rf"(?=\p{{Lu}})(?<![\p{{L}}\p{{N}}_@/.'’\[-])(?:{_SHORT}|{_WORD})(?
 DIGITS = r"(?=[+(\p{Nd}])(?<![\p{L}\p{N}_$£€.,/:-])[+(]?\p{Nd}[\p{Nd} ()./-]{5,}\p{Nd}"
 
 
-@lru_cache(maxsize=1)
-def capitals() -> re.Pattern:
-    """CAPITALS in the dialect of Python."""
-    upper = [c for c in range(0x41, 0x1F200) if chr(c).isupper()]
-    runs = "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in _runs(upper))
-    word = rf"[{runs}](?:[^\W\d_]++|[\u0300-\u036f'’-]++)*+(?![\d_@])"
-    part = rf"(?:[{runs}][^\W\d_]{{0,3}}\.(?= )|{word})"
-    return re.compile(rf"(?<![\w@/.'’\[-]){part}(?:{_SMALL}{{0,2}} {part})*")
+@lru_cache(maxsize=2)
+def capitals(plain: bool = False) -> re.Pattern:
+    """CAPITALS in the dialect of Python; plain: for ASCII, where fewer letters are to be told apart."""
+    upper = [c for c in range(0x41, 0x80 if plain else 0x1F200) if chr(c).isupper()]
+    first = f"[{''.join(f'\\U{a:08x}-\\U{b:08x}' for a, b in _runs(upper))}]"
+    rest = r"(?:[^\W\d_]{0,3}\.(?= )|(?:[^\W\d_]++|[\u0300-\u036f'’-]++)*+(?![\d_@]))"
+    # A letter first, then what stands before it: a search can skip to the next of the letters.
+    return re.compile(rf"{first}(?<![\w@/.'’\[-]{first}){rest}(?:{_SMALL}{{0,2}} {first}{rest})*")
 
 
 def _runs(numbers: list[int]):
@@ -449,20 +463,37 @@ def learn_contexts(turns: DataFrame, spans: DataFrame, rounds: int = 2, least_su
     return Learned(_templates(turns, every.where(F.col("mark").isin(*TYPES)).select("surface", "lefts", "rights", "mark").unionByName(discovered), every, least, threshold), prior, {r.p: r.score for r in scores.where("abs(score) > 0.05").collect()}, {r.p: (r.phone / r.n, r.id / r.n, r.open / r.n) for r in base.where("kind = 'number'").collect()})
 
 
+def _standing(turns: DataFrame, sides: list[str]) -> DataFrame:
+    """Rows words, stands: how often each of the three words stand in the corpus, whatever is beside them."""
+    if not sides:
+        return turns.sparkSession.createDataFrame([], "words string, stands bigint")
+
+    def run(batches):
+        import ahocorasick
+
+        automaton, count = ahocorasick.Automaton(), [0] * len(sides)
+        for k, words in enumerate(sides):
+            automaton.add_word(f" {words} ", k)
+        automaton.make_automaton()
+        for batch in batches:
+            for text in batch.column(0).to_pylist():
+                for _, k in automaton.iter(f" {text} "):
+                    count[k] += 1
+        found = [k for k, n in enumerate(count) if n]
+        yield pa.RecordBatch.from_arrays([pa.array([sides[k] for k in found], pa.string()), pa.array([count[k] for k in found], pa.int64())], names=["words", "stands"])
+
+    return turns.where("text <> ''").select(F.lower("text")).mapInArrow(run, "words string, stands bigint").groupBy("words").agg(F.sum("stands").alias("stands"))
+
+
 def _templates(turns: DataFrame, instances: DataFrame, every: DataFrame, least: int, threshold: float) -> list[tuple[str, str, str]]:
     """Templates of enough different instances that hold, of all that stands at their place, mostly instances of one type."""
     good = instances.where("length(lefts) >= 4 or length(rights) >= 4").groupBy("lefts", "rights", "mark").agg(F.count_distinct("surface").alias("different")).where(F.col("different") >= least)
     good = cut_lineage(good)
     held = every.join(F.broadcast(good.select("lefts", "rights").distinct()), ["lefts", "rights"]).groupBy("lefts", "rights").agg(F.sum("n").alias("all"))
     by_type = instances.join(F.broadcast(good), ["lefts", "rights", "mark"], "left_semi").join(every.where("mark is not null").select("surface", "lefts", "rights", "mark", "n").groupBy("surface", "lefts", "rights", "mark").agg(F.sum("n").alias("n")), ["surface", "lefts", "rights", "mark"], "left").groupBy("lefts", "rights", "mark").agg(F.sum(F.coalesce("n", F.lit(1))).alias("n"))
-    # How often three words stand in the corpus, whatever is beside them; words and sides as numbers.
     side = lambda c, n: F.when(F.size(F.split(F.ltrim(c), " ")) == n, F.ltrim(F.col(c)))
-    three_of = lambda w, i: F.xxhash64(w[i], w[i + 1], w[i + 2])
-    sides = good.select(F.explode(F.array(side("lefts", 3), side("rights", 3))).alias("words")).where("words is not null").distinct().withColumn("h", three_of(F.split("words", " "), 0))
-    words = turns.where("text <> ''").select(F.split(F.lower("text"), " ").alias("w")).where("size(w) > 2")
-    three = words.select(F.explode(F.expr("transform(sequence(0, size(w) - 3), i -> xxhash64(w[i], w[i + 1], w[i + 2]))")).alias("h"))
-    counts = three.join(F.broadcast(sides), "h").groupBy("words").agg(F.count("*").alias("stands"))
-    counts = cut_lineage(counts)
+    sides = good.select(F.explode(F.array(side("lefts", 3), side("rights", 3))).alias("words")).where("words is not null").distinct()
+    counts = cut_lineage(_standing(turns, sorted(r.words for r in sides.collect())))
     both = by_type.join(held, ["lefts", "rights"]).withColumn("lw", side("lefts", 3)).withColumn("rw", side("rights", 3))
     # Without three words on one side, two on both are enough: then what else stands there is known of candidates only.
     both = both.where((F.coalesce("lw", "rw").isNotNull()) | (side("lefts", 2).isNotNull() & side("rights", 2).isNotNull()))
@@ -472,10 +503,10 @@ def _templates(turns: DataFrame, instances: DataFrame, every: DataFrame, least:
     return [(r.lefts, r.rights, r.mark) for r in kept.orderBy("lefts", "rights").collect()]
 
 
-def search(p: Prepared, contexts: Contexts, learned: Learned):
-    """(type, start, end) of the identifiers in a prepared text."""
+def search(p: Prepared, contexts: Contexts, learned: Learned, may: int = EVERY, types_only: bool = False):
+    """(type, start, end) of the identifiers in a prepared text; if only types are wanted, one person is enough."""
     t, out = p.text, []
-    for kind, a, b in formats(t):
+    for kind, a, b in formats(t, may) if may else ():
         if kind in ("phone", "id_number") and (said := learned.number(left_context(t[:a]), right_context(t[b:]))):
             phone, own, none = said
             if none > 0.95:
@@ -487,9 +518,11 @@ def search(p: Prepared, contexts: Contexts, learned: Learned):
     for (_, _, kind), a, b in contexts.find(t):
         if kind in PLACEHOLDER and t.count(" ", a, b) < 12 and fits(kind, t[a:b]) and not any(x < b and a < y for _, x, y in out):
             out.append((kind, a, b))
-    if p.written and learned.scores:
-        for m in capitals().finditer(p.written):
+    if p.written and learned.scores and not (types_only and any(kind == "person_name" for kind, _, _ in out)):
+        for m in capitals(p.written.isascii()).finditer(p.written):
             start, surface = m.start(), m[0]
+            if " " not in surface and (len(surface) < 2 or t[start : m.end()] in NOT_NAMES):
+                continue
             opens = begins_sentence(p.written, start)
             if opens and " " in surface and learned.opens_name(t[start : start + surface.index(" ")].strip(".")):
                 opens = False
@@ -502,9 +535,22 @@ def search(p: Prepared, contexts: Contexts, learned: Learned):
                 bare = " " not in piece and (place == "i" or (len(piece) > 2 and piece.upper() == piece))
                 if learned.person(patterns) > 0 and (not bare or learned.evidence(patterns) > 1) and fits("person_name", low):
                     out.append(("person_name", a, b))
+                    if types_only:
+                        return out
     return out
 
 
+def prepare(texts: list[str], written: list[str]) -> tuple[list[Prepared], list[int]]:
+    """Texts in the form they are searched in, and for each which of MAY_HOLD stand in it."""
+    noisy = pc.match_substring_regex(pa.array(texts, pa.large_string()), NOISY).to_pylist()
+    prepared = [Prepared(t, w, n) for t, w, n in zip(texts, written, noisy)]
+    column = pa.array([p.text for p in prepared], pa.large_string())
+    may = np.zeros(len(prepared), np.int64)
+    for k, sign in enumerate(MAY_HOLD):
+        may |= pc.match_substring_regex(column, sign).to_numpy(zero_copy_only=False).astype(np.int64) << k
+    return prepared, may.tolist()
+
+
 def _prepared(column: pa.Array):
     """Texts of a column folded to lower case and as written; for each the position in the stored text of each folded character."""
     cps, offsets = to_codepoints(column)
@@ -517,6 +563,18 @@ def _prepared(column: pa.Array):
     return low, written, off, src, offsets
 
 
+def _folded(column: pa.Array):
+    """Texts of a column as `_prepared` gives them, without positions: plain ASCII needs no folding."""
+    column = pc.fill_null(column, "")
+    plain = pc.string_is_ascii(column)
+    written = pc.replace_substring(column, "\t", " ")
+    low, written = pc.ascii_lower(written).to_pylist(), written.to_pylist()
+    other = np.flatnonzero(~plain.to_numpy(zero_copy_only=False))
+    for i, a, b in zip(other.tolist(), *_prepared(column.take(pa.array(other)))[:2]) if len(other) else ():
+        low[i], written[i] = a, b
+    return low, written
+
+
 def find_types(turns: DataFrame, patterns: Learned) -> DataFrame:
     """Rows transcript_id, turn_id, field_name, pii_type: the types of which a field holds at least one."""
     source = turns.select("transcript_id", "turn_id", "text", "anonymised_text").where("text <> '' or anonymised_text <> ''")
@@ -526,18 +584,14 @@ def find_types(turns: DataFrame, patterns: Learned) -> DataFrame:
         contexts = Contexts(patterns)
         for part in (p for whole in batches for p in slices(whole, "text")):
             rows, fields, kinds = [], [], []
-            plain = part.column("text").to_pylist()
-            done: list[tuple] = []
-            for name in ("text", "anonymised_text"):
-                texts, written = _prepared(part.column(name))[:2]
-                stored = plain if name == "text" else part.column(name).to_pylist()
-                for i, (t, w) in enumerate(zip(texts, written)):
-                    if name == "anonymised_text" and stored[i] == plain[i]:
-                        hit = done[i]
-                    else:
-                        hit = tuple({k for k, _, _ in search(Prepared(t, w), contexts, patterns)}) if t else ()
-                    if name == "text":
-                        done.append(hit)
+            done: list[tuple] = [()] * len(part)
+            same = pc.fill_null(pc.equal(part.column("text"), part.column("anonymised_text")), False).to_numpy(zero_copy_only=False)
+            for name, left in (("text", np.arange(len(part))), ("anonymised_text", np.flatnonzero(~same))):
+                # A field that is as the first one has what that has.
+                hits = list(done) if name == "anonymised_text" else done
+                for i, p, may in zip(left.tolist(), *prepare(*_folded(part.column(name).take(pa.array(left))))):
+                    hits[i] = tuple({k for k, _, _ in search(p, contexts, patterns, may, types_only=True)}) if p.text else ()
+                for i, hit in enumerate(hits):
                     for k in hit:
                         rows.append(i)
                         fields.append(name)
@@ -571,11 +625,10 @@ def redact(turns: DataFrame, patterns: Learned) -> DataFrame:
                 stored = part.column(name).to_pylist()
                 texts, written, low_off, src, offsets = _prepared(part.column(name))
                 out = []
-                for i, (text, t) in enumerate(zip(stored, texts)):
+                for i, (text, p, may) in enumerate(zip(stored, *prepare(texts, written))):
                     found = []
-                    if t:
-                        p = Prepared(t, written[i])
-                        for kind, a, b in search(p, contexts, patterns):
+                    if p.text:
+                        for kind, a, b in search(p, contexts, patterns, may):
                             while a < b and p.text[a] in " .,;":
                                 a += 1
                             while b > a and p.text[b - 1] in " ,;":

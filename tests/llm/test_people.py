@@ -266,6 +266,39 @@ def test_formats(text, kinds):
     assert {k for k, _, _ in pii.formats(pii.Prepared(folded).text)} == kinds
 
 
+ODD = "um uh, erm - like, you know, sort of... kind\nof - [laughs] (pause) 10:23 [00:01:02] <1m2s> *cough* double zero one two three, four five six seven oh triple nine twenty-one 12 7 21/34 34a 5, high street road st av. rue de la bis via lindenstraße ringweg 45 ٣٤ é café +61 (02) 9123 4567 0412345678 1.000.000 978-0-306-40615-7 ab 12 34 56 c a1234567 x@y.com bob (at) site dot com [at] [dot] Mr. Dr. Josie Smith [NAME_1] 12/03/2021   ’s Mc\tX SMITH Ａ"
+
+
+def test_columns_are_asked_before_texts_are_searched():
+    import pyarrow as pa
+
+    rng = random.Random(7)
+    plain = ["I kept the meadow, some days, by the old mill.", "We did 104 of them in 1998 [NAME_1].", "Interviewer: and how was that?"]
+    column = pa.array([*plain, None, "", "It is oh seven seven double oh, nine double oh, one two three.", "five eight  two, eight three five triple five", *["".join(rng.choice(ODD.split(" ")) + rng.choice(["  ", " ", " ", ", ", ""]) for _ in range(rng.randint(1, 12))) for _ in range(5000)]])
+    texts, written = pii._folded(column)
+    assert (texts, written) == pii._prepared(column)[:2]
+    prepared, may = pii.prepare(texts, written)
+    assert may[: len(plain)] == [0] * len(plain) and set(map(bool, may)) == {False, True}
+    contexts, learned = pii.Contexts([("josie", ".", "person_name")]), pii.Learned(prior=1.0, scores={0: 1.0})
+    for t, w, p, m in zip(texts, written, prepared, may):
+        whole = pii.Prepared(t, w)
+        assert (p.text, p.written, p.starts, p.to) == (whole.text, whole.written, whole.starts, whole.to)
+        found = pii.search(whole, contexts, learned)
+        assert pii.search(p, contexts, learned, m) == found
+        assert {k for k, _, _ in pii.search(p, contexts, learned, m, types_only=True)} == {k for k, _, _ in found}
+        assert not w.isascii() or [x.span() for x in pii.capitals(True).finditer(w)] == [x.span() for x in pii.capitals().finditer(w)]
+
+
+def test_sides_are_counted_wherever_they_stand(spark):
+    texts = ["a a a a b", "A b  c a b  c", "xa a a", "a a", "a  a a", " a a a", "", None, "é\na b c"]
+    sides = ["a a a", "b  c", "a b ", " a a", "q q q"]
+    words = [x.lower().split(" ") for x in texts if x]
+    true = {s: n for s in sides if (n := sum(w[i : i + 3] == s.split(" ") for w in words for i in range(len(w) - 2)))}
+    said = spark.createDataFrame([(x,) for x in texts], "text string")
+    assert {r.words: r.stands for r in pii._standing(said, sides).collect()} == true and len(true) > 2
+    assert pii._standing(said, []).count() == 0
+
+
 def test_contexts_are_learned_and_find_new_names(spark):
     people = ["Ann Lee", "Bo Ray", "Cy Fox", "Di Poe", "Ed May", "Flo Kay"]
     frames = ["I usually see {} about that.", "{} told me to come in.", "My name is {}."]
